@@ -31,8 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in strings of 400 bytes that also start elsewhere go, with the parts of characters that a cut leaves; documents without a word left go."""
     d = suffix_dedup.dedup(docs.select(*COLUMNS))
-    cut = F.regexp_replace(F.try_validate_utf8(F.decode("sfx_kept", "UTF-8")), "�", "")
-    text = F.when(F.col("sfx_n_removed") > 0, cut).otherwise(F.col("text"))
+    text = F.when(F.col("sfx_n_removed") > 0, F.col("sfx_text")).otherwise(F.col("text"))
     out = d.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
     return out.where(F.col("text").rlike(common.WORD))
 

@@ -165,6 +165,7 @@ def identify(records: DataFrame, langs: tuple[str, ...] = LANGS, keep_text: bool
     With keep_text the text is scored twice, for the votes and for the verdicts, and never shuffled or stored; without it the scores are stored once.
     Null or empty texts are rejected, repeated rows judged alike, an empty table gives an empty result.
     """
+    common.text_batches(records.sparkSession)
     weights = fit(records, langs, fit_rows)
     if keep_text:
         votes = scored(records.select("text", "declared", "host"), weights, langs)

@@ -245,6 +245,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows are returned as often as they occur; an empty table gives an empty result. No list, candidate or link is capped: a list of more than BLOCK
     members is dealt out as pairs of blocks. Lists in which a pair fails verification are traversed again for all pairs not joined by then.
     """
+    common.text_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = common.task_count(spark)
     f = common.stored(features(docs, k, percent, frequent(docs, k)), "gram-features")

@@ -244,12 +244,14 @@ def union(ranges: list[dict]) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
-    """docs with sfx_n_bytes, sfx_n_removed, sfx_spans (array of start, end) and sfx_kept (binary); text is kept as it was.
+    """docs with sfx_n_bytes, sfx_n_removed, sfx_spans (array of start, end), sfx_kept (binary) and sfx_text (the kept runs
+    as text, without the parts of characters that a cut leaves); text is kept as it was.
 
     Every byte covered by a string of `length` bytes of the text's UTF-8 that also starts anywhere else, in the same text too, is removed; strings are
     judged on the input. Null text is empty. Rows with equal texts remove each other whole if long enough; ids may be null or repeated. An empty table gives an
     empty result. All repeats are found: candidates are cut by no cap or sample.
     """
+    common.text_batches(docs.sparkSession)
     copies, marks = spans(docs, length)
     size = marks.agg(F.sum(F.size("ranges"))).first()[0] or 0
     marks = F.broadcast(marks) if marks.count() * 100 + size * 32 <= common.BROADCAST_BYTES else marks
@@ -263,13 +265,14 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     def task(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            n, gone, sp, kept = [], [], [], []
+            n, gone, sp, kept, txt = [], [], [], [], []
             for x, copy, r in zip(b.column("sfx_raw"), b.column("sfx_copy"), b.column("sfx_ranges")):
                 t = x.as_py()
                 u = [(0, len(t))] if copy.as_py() else union(r.as_py() or [])
                 edges = [0, *(e for s in u for e in s), len(t)]
                 n.append(len(t)), gone.append(sum(e - s for s, e in u)), sp.append([{"start": s, "end": e} for s, e in u])
-                kept.append(b"".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if u else t)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sp, kind), pa.array(kept, pa.binary())], names=[*names, "sfx_n_bytes", "sfx_n_removed", "sfx_spans", "sfx_kept"])
+                left = [t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)] if u else [t]
+                kept.append(b"".join(left)), txt.append("".join(p.decode("utf-8", "ignore") for p in left))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sp, kind), pa.array(kept, pa.binary()), pa.array(txt, pa.string())], names=[*names, "sfx_n_bytes", "sfx_n_removed", "sfx_spans", "sfx_kept", "sfx_text"])
 
-    return j.select(*[F.col(f"`{c}`") for c in names], "sfx_raw", "sfx_copy", "sfx_ranges").mapInArrow(task, f"{fields}, sfx_n_bytes long, sfx_n_removed long, sfx_spans array<struct<start:long,end:long>>, sfx_kept binary")
+    return j.select(*[F.col(f"`{c}`") for c in names], "sfx_raw", "sfx_copy", "sfx_ranges").mapInArrow(task, f"{fields}, sfx_n_bytes long, sfx_n_removed long, sfx_spans array<struct<start:long,end:long>>, sfx_kept binary, sfx_text string")
