@@ -79,4 +79,18 @@ QUERIES = {
     "op7_mixing": op7_mixing, "op8_quality_rules": op8_quality_rules, "op9_license_scan": op9_license_scan, "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES = {}
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha, {1 + 5 * i}, 5) AS BIGINT) >> {s}) & 31), 1)" for i in range(8) for s in (15, 10, 5, 0))
+
+ORACLES = {
+    "op1_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) sha FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY sha, n) first FROM p)
+        SELECT page_id, n payload_bytes, {_B32} payload_digest, CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END refers_to,
+        true block_ok, CASE WHEN page_id IS NOT DISTINCT FROM first THEN true END payload_ok FROM f""",
+    "op7_mixing": r"""WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM d GROUP BY 1), k AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] w, [0.6::DOUBLE, 0.0, -0.6][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] slope, source_size * 2.0::DOUBLE cap FROM s),
+        l AS (SELECT *, cap / w level, coalesce(sum(cap) OVER o, 0) cb, coalesce(sum(w) OVER o, 0) wb FROM k WINDOW o AS (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT sum(source_size) * 1.5::DOUBLE budget, sum(w) tw FROM k), f AS (SELECT coalesce(sum(cap), 0) caps, coalesce(sum(w), 0) ws FROM l, t WHERE cb + level * (tw - wb) <= budget),
+        g AS (SELECT source, source_size, slope, least(cap, (budget - caps) / CAST(tw - ws AS DOUBLE) * w) target FROM k, t, f),
+        c AS (SELECT d.doc_id, size, source_size, target, slope, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) c, floor(target + 0.5::DOUBLE) m FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+        u AS (SELECT *, CASE WHEN c < m THEN least(size, m - c) ELSE 0 END + CASE WHEN c + source_size < m THEN least(size, m - c - source_size) ELSE 0 END taken, least(CAST(c AS DOUBLE) / greatest(target, 1.0::DOUBLE), 1.0::DOUBLE) u FROM c)
+        SELECT doc_id, CAST(size AS BIGINT) size, source_size, target, CAST(taken AS BIGINT) taken, CASE WHEN c < m THEN CASE WHEN slope = 0 THEN u ELSE (sqrt((1-slope)*(1-slope) + 4*slope*u) - (1-slope)) / (2*slope) END END "position" FROM u""",
+}
