@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only if its measured rows times its row width stay under this.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:

@@ -99,10 +99,11 @@ def refine(blocks: np.ndarray, symbol, depth: int):
                 z, key = z[by], key[by]
 
 
-def repeats(groups: np.ndarray, left: list[bytes], right: list[bytes], length: int, gram: int = GRAM):
+def repeats(groups: np.ndarray, left: list[bytes], right: list[bytes], twice: np.ndarray, length: int, gram: int = GRAM):
     """(row, least distance, largest distance) of runs of distances o at which a string of `length` bytes starts that also starts elsewhere.
 
     Row i is a suffix right[i] preceded by left[i]; rows of a group share an anchor and come in the order of their shards.
+    A row that stands for several equal suffixes is marked twice: all its strings repeat.
     """
     reach = length - gram
     n = len(groups)
@@ -126,6 +127,8 @@ def repeats(groups: np.ndarray, left: list[bytes], right: list[bytes], length: i
             by = np.argsort(key, kind="stable")
             same = key[by[1:]] == key[by[:-1]]
             flags[o, ok[by[1:][same]]] = flags[o, ok[by[:-1][same]]] = True
+    o = np.arange(reach + 2)[:, None]
+    flags |= twice & (o <= np.minimum(nl, reach)) & (o >= length - nr)
     step = np.diff(flags.astype(np.int8), axis=0, prepend=0)
     row, lo = np.nonzero(step.T == 1)
     hi = np.nonzero(step.T == -1)[1] - 1
@@ -147,9 +150,14 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             for rows, offs, texts in pieces(b.column("raw"), length - 1):
                 part, at, h = anchors(texts, length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), b.column("key").take(pa.array(np.array(rows, np.int64)[part])), pa.array(at + np.array(offs, np.int64)[part])], names=["anchor", "key", "at"])
+                _, first, which, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                lead = np.zeros(len(h), bool)
+                lead[first] = True
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), b.column("key").take(pa.array(np.array(rows, np.int64)[part])), pa.array(at + np.array(offs, np.int64)[part]), pa.array(lead), pa.array(count[which] > 1)], names=["anchor", "key", "at", "lead", "twice"])
 
-    found = single.mapInArrow(find, "anchor long, key binary, at long").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    # an anchor that comes often in the texts looked at together goes on once from there
+    seen = common.stored(single.mapInArrow(find, "anchor long, key binary, at long, lead boolean, twice boolean"), "anchors")
+    found = seen.where("lead").select("anchor", "key", "at").repartition(parts, "anchor").sortWithinPartitions("anchor")
 
     def again(batches):
         held, it, last = None, iter(batches), False
@@ -170,7 +178,7 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
             out = t.slice(0, end).filter(pa.array(keep[:end]))
             yield from out.select(["key", "at"]).to_batches()
 
-    hits = found.mapInArrow(again, "key binary, at long").groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    hits = found.mapInArrow(again, "key binary, at long").union(seen.where("twice").select("key", "at")).groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     hits = common.stored(hits, "anchor-hits")
     size = hits.agg(F.sum(F.size("ats"))).first()[0] or 0
     near = F.broadcast(hits) if hits.count() * 100 + size * 8 <= common.BROADCAST_BYTES else hits
@@ -179,31 +187,36 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     def cut(batches):
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        shard, done = TaskContext.get().partitionId(), 0
         for b in batches:
-            grp, key, at, left, right = [], [], [], [], []
-            for k, raw, ats in zip(b.column("key"), b.column("raw"), b.column("ats")):
-                k, raw = k.as_py(), raw.as_py()
+            own: dict[tuple, list] = {}  # equal suffixes of the batch, with what precedes them, are one
+            for k, x, ats in zip(b.column("key"), b.column("raw"), b.column("ats")):
+                k, raw = k.as_py(), x.as_py()
                 for p in ats.as_py():
-                    grp.append(xxhash.xxh3_64_intdigest(raw[p : p + GRAM]) - (1 << 63)), key.append(k), at.append(p)
-                    left.append(raw[max(0, p - reach) : p]), right.append(raw[p : p + length])
+                    grp = xxhash.xxh3_64_intdigest(raw[p : p + GRAM]) - (1 << 63)
+                    own.setdefault((grp, raw[p : p + length], raw[max(0, p - reach) : p]), []).append((k, p))
             # the shard's transform: suffixes in order, each with what precedes it
-            by = sorted(range(len(grp)), key=lambda i: (grp[i], right[i]))
-            pick = lambda xs, kind: pa.array([xs[i] for i in by], kind)
-            n = len(by)
-            yield pa.RecordBatch.from_arrays([pick(grp, pa.int64()), pa.array([shard] * n, pa.int32()), pa.array(range(n), pa.int32()), pick(key, pa.binary()), pick(at, pa.int64()), pick(left, pa.binary()), pick(right, pa.binary())], names=["grp", "shard", "rank", "key", "at", "left", "right"])
-
-    shards = single.join(near, "key").mapInArrow(cut, "grp long, shard int, rank int, key binary, at long, left binary, right binary")
-    shards = shards.repartition(parts, "grp").sortWithinPartitions("grp", "shard", "rank")
+            cols = [[] for _ in range(7)]
+            for grp, right, left in sorted(own):
+                held = own[grp, right, left]
+                for i, (k, p) in enumerate(held):
+                    for c, v in zip(cols, (grp, shard << 36 | done, k, p, left if i == 0 else None, right if i == 0 else None, len(held) > 1)):
+                        c.append(v)
+                done += 1
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["grp", "suffix", "key", "at", "left", "right", "twice"])
+
+    shards = single.join(near, "key").mapInArrow(cut, "grp long, suffix long, key binary, at long, left binary, right binary, twice boolean")
+    shards = common.stored(shards, "shard-suffixes")
+    merged = shards.where("left is not null").select("grp", "suffix", "left", "right", "twice").repartition(parts, "grp").sortWithinPartitions("grp", "suffix")
 
     def merge(batches):
         held, size = [], 0
 
         def flush():
             t = pa.concat_tables(held)
-            row, lo, hi = repeats(t.column("grp").to_numpy(), t.column("left").to_pylist(), t.column("right").to_pylist(), length)
-            at = t.column("at").to_numpy()[row]
-            return pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(row)), pa.array(at - hi), pa.array(at - lo + length)], names=["key", "start", "end"])
+            row, lo, hi = repeats(t.column("grp").to_numpy(), t.column("left").to_pylist(), t.column("right").to_pylist(), t.column("twice").to_numpy(), length)
+            return pa.RecordBatch.from_arrays([t.column("suffix").combine_chunks().take(pa.array(row)), pa.array(lo), pa.array(hi)], names=["suffix", "lo", "hi"])
 
         for t in blocks(batches):
             held.append(t)
@@ -214,7 +227,8 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
         if held:
             yield flush()
 
-    ranges = shards.mapInArrow(merge, "key binary, start long, end long")
+    runs_ = merged.mapInArrow(merge, "suffix long, lo long, hi long")
+    ranges = shards.select("suffix", "key", "at").join(runs_, "suffix").select("key", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end"))
     return copies, common.stored(ranges.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "repeat-ranges")
 
 
@@ -256,8 +270,7 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     size = marks.agg(F.sum(F.size("ranges"))).first()[0] or 0
     marks = F.broadcast(marks) if marks.count() * 100 + size * 32 <= common.BROADCAST_BYTES else marks
     names = docs.columns
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    j = docs.withColumns({"sfx_raw": raw, "sfx_key": F.unhex(F.md5(raw))})
+    j = docs.withColumn("sfx_key", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
     j = j.join(copies.select(F.col("key").alias("sfx_key"), F.lit(True).alias("sfx_copy")), "sfx_key", "left")
     j = j.join(marks.select(F.col("key").alias("sfx_key"), F.col("ranges").alias("sfx_ranges")), "sfx_key", "left").drop("sfx_key")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -266,8 +279,8 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             n, gone, sp, kept, txt = [], [], [], [], []
-            for x, copy, r in zip(b.column("sfx_raw"), b.column("sfx_copy"), b.column("sfx_ranges")):
-                t = x.as_py()
+            for x, copy, r in zip(b.column("text"), b.column("sfx_copy"), b.column("sfx_ranges")):
+                t = (x.as_py() or "").encode()
                 u = [(0, len(t))] if copy.as_py() else union(r.as_py() or [])
                 edges = [0, *(e for s in u for e in s), len(t)]
                 n.append(len(t)), gone.append(sum(e - s for s, e in u)), sp.append([{"start": s, "end": e} for s, e in u])
@@ -275,4 +288,4 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
                 kept.append(b"".join(left)), txt.append("".join(p.decode("utf-8", "ignore") for p in left))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sp, kind), pa.array(kept, pa.binary()), pa.array(txt, pa.string())], names=[*names, "sfx_n_bytes", "sfx_n_removed", "sfx_spans", "sfx_kept", "sfx_text"])
 
-    return j.select(*[F.col(f"`{c}`") for c in names], "sfx_raw", "sfx_copy", "sfx_ranges").mapInArrow(task, f"{fields}, sfx_n_bytes long, sfx_n_removed long, sfx_spans array<struct<start:long,end:long>>, sfx_kept binary, sfx_text string")
+    return j.select(*[F.col(f"`{c}`") for c in names], "sfx_copy", "sfx_ranges").mapInArrow(task, f"{fields}, sfx_n_bytes long, sfx_n_removed long, sfx_spans array<struct<start:long,end:long>>, sfx_kept binary, sfx_text string")
