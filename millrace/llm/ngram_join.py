@@ -81,8 +81,8 @@ def sets(col: pa.Array, k: int):
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Bits of a set: a power of two of them, at least four to a member and 1024 in all."""
-    width = 1 << max(10, int(4 * len(s) - 1).bit_length())
+    """Bits of a set: a power of two of them, at least two to a member and 512 in all."""
+    width = 1 << max(9, int(2 * len(s) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(s >> np.uint64(8)) & np.uint64(width - 1)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -243,7 +243,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Sets: distinct k-word grams of the whole text; with fewer words the whole sequence; none without words, which links with nothing. component_id is the
     smallest doc_id reachable. Rows of one doc_id are one document and share a component; a null doc_id has a null component. Repeated
     rows are returned as often as they occur; an empty table gives an empty result. No list, candidate or link is capped: a list of more than BLOCK
-    members is dealt out as pairs of blocks. Lists in which a pair fails verification are traversed again for all pairs not joined by then.
+    members is dealt out as pairs of blocks. A traversal takes a pair that passes the bounds for joined, so that a large group of copies gives a spanning
+    tree and not all its pairs; lists in which such a pair fails verification are traversed again for all pairs not joined by then.
     """
     common.text_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -281,26 +282,24 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     member = common.stored(grams.mapInArrow(lists, "list long, node long").distinct(), "gram-lists")
     nodes = common.checked_broadcast(common.stored(member.select("node").distinct(), "gram-nodes"), 16)
 
-    def full(batches):
+    def signatures(batches):
         for b in batches:
-            rows, ns, maps, ss = [], [], [], []
+            rows, ns, maps = [], [], []
             for i, s in sets(b.column("text"), k):
-                rows.append(i), ns.append(len(s)), maps.append(bitmap(s).tobytes()), ss.append(s.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(ns, pa.int64()), pa.array(maps, pa.binary()), pa.array(ss, pa.list_(pa.int64()))], names=["node", "n", "bits", "grams"])
+                rows.append(i), ns.append(len(s)), maps.append(bitmap(s).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(ns, pa.int64()), pa.array(maps, pa.binary())], names=["node", "n", "bits"])
 
-    held = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").mapInArrow(full, "node long, n long, bits binary, grams array<bigint>")
-    held = common.stored(held, "gram-sets")
+    held = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").mapInArrow(signatures, "node long, n long, bits binary")
+    held = common.stored(held, "gram-signatures")
 
     def traverse(spanning: bool):
         def task(batches):
             for t in runs(batches, "list"):
                 ids, sizes = t.column("node").to_numpy(), t.column("n").to_numpy()
-                maps = [np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()]
-                tree = Tree(ids, sizes, maps, percent)
-                if not spanning:
-                    own: dict = {}
-                    for i, r in enumerate(t.column("root").to_pylist()):
-                        tree.parent[i] = own.setdefault(r, i)
+                tree = Tree(ids, sizes, [np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()], percent)
+                own: dict = {}
+                for i, r in enumerate(t.column("root").to_pylist()):
+                    tree.parent[i] = own.setdefault(r, i)
                 got = tree.pairs(spanning)
                 if got:
                     i, j = np.array(got).T
@@ -308,31 +307,53 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
         return task
 
-    def verified(members: DataFrame, spanning: bool) -> DataFrame:
+    def compare(batches):
+        for b in batches:
+            ok = np.zeros(b.num_rows, bool)
+            other = dict(sets(b.column("y"), k))
+            for i, x in sets(b.column("x"), k):
+                y = other.get(i)
+                if y is not None:
+                    n = len(np.intersect1d(x, y, True))
+                    ok[i] = 100 * n >= percent * (len(x) + len(y) - n)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], names=["a", "b", "ok"])
+
+    def verified(members: DataFrame, spanning: bool) -> tuple[DataFrame, DataFrame]:
+        """(list, a, b) of the pairs that pass the bounds, and (a, b, ok) by their exact sets. members: list, node, root."""
         size = members.groupBy("list").count().where(F.col("count") > BLOCK)
         if size.limit(1).count():
             # a long list: its members, dealt into blocks, meet as pairs of blocks
             m = members.join(size, "list", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / (BLOCK // 2)), F.lit(1)))
             m = m.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             members = m.withColumn("list", F.when(F.col("blocks") > 1, F.xxhash64("list", F.least("own", "with"), F.greatest("own", "with"))).otherwise(F.col("list"))).drop("count", "blocks", "own", "with").distinct()
-        m = members.join(held.select("node", "n", "bits"), "node").repartition(parts, "list").sortWithinPartitions("list", "n", "node")
-        pairs = common.stored(m.mapInArrow(traverse(spanning), "list long, a long, b long"), "gram-pairs")
-        sets_ = held.select("node", "grams")
-        once = pairs.select("a", "b").where("a <> b").distinct()
-        both = once.join(sets_.toDF("a", "x"), "a").join(sets_.toDF("b", "y"), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        ok = common.stored(both.select("a", "b", (100 * shared >= percent * (F.size("x") + F.size("y") - shared)).alias("ok")).groupBy("a", "b").agg(F.max("ok").alias("ok")), "gram-verdicts")
-        return pairs, ok
-
-    pairs, ok = verified(member, True)
+        m = members.join(held, "node").repartition(parts, "list").sortWithinPartitions("list", "n", "node")
+        pairs = common.stored(m.mapInArrow(traverse(spanning), "list long, a long, b long").where("a <> b"), "gram-pairs")
+        once = common.stored(pairs.select("a", "b").distinct(), "gram-once")
+        ends = common.checked_broadcast(common.stored(once.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "gram-ends"), 16)
+        # texts are smaller than their sets of hashes
+        texts = docs.join(ends, docs["doc_id"] == ends["node"], "left_semi").select("doc_id", "text")
+        both = once.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        ok = both.mapInArrow(compare, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
+        return pairs, common.stored(ok, "gram-verdicts")
+
+    def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+        """Members of the lists that hold more than one component as yet, each with its root."""
+        m = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        m = common.stored(m, "gram-rooted")
+        open_ = m.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
+        return m.join(open_, "list", "left_semi")
+
+    # each node in the longest of its lists first: most copies are joined there, and lists that are joined need no second look
+    size = member.groupBy("list").agg(F.count("*").alias("c"))
+    longest = member.join(size, "list").groupBy("node").agg(F.max_by("list", F.struct("c", "list")).alias("list"))
+    _, ok = verified(longest.select("list", "node", F.col("node").alias("root")), True)
     links = ok.where("ok").select("a", "b")
-    failed = pairs.join(ok.where("not ok"), ["a", "b"], "left_semi").select("list").distinct()
-    failed = common.stored(failed, "gram-failed")
+    pairs, ok = verified(rooted(member, links), True)
+    links = links.union(ok.where("ok").select("a", "b"))
+    failed = common.stored(pairs.join(ok.where("not ok"), ["a", "b"], "left_semi").select("list").distinct(), "gram-failed")
     if failed.limit(1).count():
-        root = components(links)
-        again = member.join(failed, "list", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        _, more = verified(again, False)
-        links = links.union(more.where("ok").select("a", "b"))
+        _, ok = verified(rooted(member.join(failed, "list", "left_semi"), links), False)
+        links = links.union(ok.where("ok").select("a", "b"))
     root = components(links).toDF("rep", "root")
     root = common.checked_broadcast(common.stored(root, "gram-roots"), 32)
     out = f.select("doc_id", "n", "s1", "s2").join(same.withColumnRenamed("rep", "cls"), ["s1", "s2"], "left")
