@@ -180,8 +180,6 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
 
     hits = found.mapInArrow(again, "key binary, at long").union(seen.where("twice").select("key", "at")).groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     hits = common.stored(hits, "anchor-hits")
-    size = hits.agg(F.sum(F.size("ats"))).first()[0] or 0
-    near = F.broadcast(hits) if hits.count() * 100 + size * 8 <= common.BROADCAST_BYTES else hits
     reach = length - GRAM
 
     def cut(batches):
@@ -206,7 +204,7 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["grp", "suffix", "key", "at", "left", "right", "twice"])
 
-    shards = single.join(near, "key").mapInArrow(cut, "grp long, suffix long, key binary, at long, left binary, right binary, twice boolean")
+    shards = single.join(hits, "key").mapInArrow(cut, "grp long, suffix long, key binary, at long, left binary, right binary, twice boolean")
     shards = common.stored(shards, "shard-suffixes")
     merged = shards.where("left is not null").select("grp", "suffix", "left", "right", "twice").repartition(parts, "grp").sortWithinPartitions("grp", "suffix")
 
@@ -267,8 +265,6 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     common.text_batches(docs.sparkSession)
     copies, marks = spans(docs, length)
-    size = marks.agg(F.sum(F.size("ranges"))).first()[0] or 0
-    marks = F.broadcast(marks) if marks.count() * 100 + size * 32 <= common.BROADCAST_BYTES else marks
     names = docs.columns
     j = docs.withColumn("sfx_key", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
     j = j.join(copies.select(F.col("key").alias("sfx_key"), F.lit(True).alias("sfx_copy")), "sfx_key", "left")
