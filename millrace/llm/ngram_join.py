@@ -357,7 +357,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     root = components(links).toDF("rep", "root")
     root = common.checked_broadcast(common.stored(root, "gram-roots"), 32)
     out = f.select("doc_id", "n", "s1", "s2").join(same.withColumnRenamed("rep", "cls"), ["s1", "s2"], "left")
-    out = out.withColumn("rep", F.when(F.col("n") > 0, F.coalesce("cls", "doc_id")).otherwise(F.col("doc_id"))).join(root, "rep", "left")
+    out = out.withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")).otherwise(F.col("doc_id"))).join(root, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
