@@ -17,7 +17,7 @@ BROADCAST_BYTES = 8 << 20
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
 def n_words(text: Column) -> Column:

@@ -13,13 +13,19 @@ from . import common
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
-def ngram_buckets(text: Column, buckets: int) -> Column:
-    """Buckets of all one- and two-token grams of a text (the last token pairs with its end)."""
-    toks = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    one = lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int")
-    two = lambda t, u: F.pmod(F.xxhash64(t, F.coalesce(u, F.lit(""))), F.lit(buckets)).cast("int")
-    # the array is bound once, so that the text is matched once
-    return F.flatten(F.transform(F.array(toks), lambda ts: F.concat(F.transform(ts, one), F.zip_with(ts, F.slice(ts, 2, F.greatest(F.size(ts) - 1, F.lit(0))), two))))
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def shifted(xs: Column, n: int) -> Column:
+    """An array from its (n + 1)-th entry on."""
+    return F.slice(xs, n + 1, F.size(xs))
+
+
+def gram_buckets(t: Column, u: Column, buckets: int) -> tuple[Column, Column]:
+    """Buckets of the grams that start at a token: itself, and with the next one (null after the last, which pairs with its end)."""
+    at = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
+    return at(t), at(t, F.coalesce(u, F.lit("")))
 
 
 def log_ratio_weights(docs: DataFrame, trusted_ids: DataFrame, buckets: int = 1 << 15, alpha: float = 1.0, trusted_rows: int = 50_000, scale: int = 10_000) -> list[int]:
@@ -29,9 +35,11 @@ def log_ratio_weights(docs: DataFrame, trusted_ids: DataFrame, buckets: int = 1
     the trusted_rows smallest by hash, so that they can be broadcast whatever the number of labels. Two counts a bucket reach the driver.
     """
     ids = trusted_ids.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct().orderBy(F.xxhash64("t_id"), "t_id").limit(trusted_rows)
-    grams = docs.select("doc_id", ngram_buckets(F.col("text"), buckets).alias("g"))
-    grams = grams.join(F.broadcast(ids), F.col("doc_id") == F.col("t_id"), "left")
-    counts = grams.select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode("g").alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
+    toks = docs.select("doc_id", tokens(F.col("text")).alias("ts")).join(F.broadcast(ids), F.col("doc_id") == F.col("t_id"), "left")
+    # rows, not arrays, are hashed: that stays in generated code
+    rows = toks.select(F.col("t_id").isNotNull().cast("long").alias("tr"), F.inline(F.arrays_zip(F.col("ts").alias("t"), shifted(F.col("ts"), 1).alias("u"))).alias("t", "u"))
+    rows = rows.select("tr", F.explode(F.array(*gram_buckets(F.col("t"), F.col("u"), buckets))).alias("b"))
+    counts = rows.groupBy("b").agg(F.count("*").alias("raw"), F.sum("tr").alias("trusted"))
     raw, trusted = [alpha] * buckets, [alpha] * buckets
     for b, r, t in counts.collect():  # at most one row a bucket
         raw[b], trusted[b] = raw[b] + r, trusted[b] + t
@@ -44,7 +52,10 @@ def base_features(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_IN))
     df = docs.withColumns({"q_w": common.words(F.col("text")), "q_l": lines})
-    df = df.withColumn("q_win", F.when(F.size("q_w") >= 8, F.transform(F.sequence(F.lit(1), F.size("q_w") - 7), lambda i: F.xxhash64(F.slice(F.col("q_w"), i, 8)))))
+    # hashes of 2, 4 and 8 words, each from two of half the length; what overhangs the end is cut off last
+    pair = lambda xs, n: F.zip_with(xs, shifted(xs, n), lambda x, y: F.xxhash64(x, y))
+    df = df.withColumn("q_h2", pair(F.col("q_w"), 1)).withColumn("q_h4", pair(F.col("q_h2"), 2)).withColumn("q_h8", pair(F.col("q_h4"), 4))
+    df = df.withColumn("q_win", F.when(F.size("q_w") >= 8, F.slice("q_h8", 1, F.greatest(F.size("q_w") - 7, F.lit(0))))).drop("q_h2", "q_h4", "q_h8")
     # positions of windows whose hash occurs again: neighbours in the order of (hash, position)
     s = F.sort_array(F.zip_with(F.col("q_win"), F.sequence(F.lit(1), F.size("q_win")), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     twice = F.transform(F.array(s), lambda a: F.sort_array(F.transform(
@@ -71,11 +82,13 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, threshold: float = -0.5, buck
     """
     weights = log_ratio_weights(docs, trusted_ids, buckets, scale=scale)
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")  # folded into one literal of `buckets` numbers
-    df = base_features(docs).withColumn("q_g", ngram_buckets(F.col("text"), buckets))
-    df = df.withColumns({"q_n_grams": F.size("q_g").cast("long"), "q_sum": F.aggregate("q_g", F.lit(0).cast("long"), lambda u, b: u + F.get(table, b))})
+    df = base_features(docs).withColumn("q_t", tokens(F.col("text")))
+    both = lambda t, u: sum(F.get(table, b) for b in gram_buckets(t, u, buckets))
+    each = F.zip_with("q_t", shifted(F.col("q_t"), 1), both)
+    df = df.withColumns({"q_n_grams": (2 * F.size("q_t")).cast("long"), "q_sum": F.aggregate(each, F.lit(0).cast("long"), lambda u, v: u + v)})
     failed = (F.col("q_n_words") < min_words) | (100 * F.col("q_n_repeat_words") > repeat_percent * F.col("q_n_words"))
     good = F.col("q_sum") >= F.ceil(F.lit(threshold * scale) * F.col("q_n_grams"))
     return df.withColumns({
         "q_base_failed": failed, "q_kept": ~failed & good,
         "q_score": F.when(F.col("q_n_grams") > 0, F.col("q_sum") / (F.col("q_n_grams") * scale)).otherwise(F.lit(0.0)),
-    }).drop("q_g", "q_sum")
+    }).drop("q_t", "q_sum")
