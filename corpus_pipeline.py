@@ -21,11 +21,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by a 5-gram Jaccard similarity of 0.8 the smallest doc_id stays."""
-    j = ngram_join.join(docs, 5, 80)
-    gone = j.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    gone = common.checked_broadcast(common.stored(gone, "near-copies"), 16)
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*COLUMNS)
+    """Of each component of rows linked by a 5-gram Jaccard similarity of 0.8 one row stays: the smallest doc_id, null last. Rows of a repeated or null doc_id are rows of their own."""
+    d = common.stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    j = ngram_join.join(d.select(F.col("row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("row"), F.col("component_id").alias("of"))
+    j = common.stored(j, "near-components")
+    copied = common.checked_broadcast(common.stored(j.where("of <> row").select("of").distinct(), "near-groups"), 8)
+    j = common.stored(j.join(copied, "of", "left_semi"), "near-members")
+    # of rows of one doc_id in a component the first by hash, so that the choice does not hang on how rows were dealt
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64(*COLUMNS).alias("h"), "row")
+    keep = d.join(j, "row").select("of", order.alias("o")).groupBy("of").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+    gone = common.checked_broadcast(common.stored(j.select("row").join(keep, "row", "left_anti"), "near-copies"), 8)
+    return d.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

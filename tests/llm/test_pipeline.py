@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as c
 
 
@@ -13,3 +15,14 @@ def test_stages_run_and_take_effect(spark):
             assert 0 < out.count() < n
         docs = out
     assert docs.agg({"piece_tokens": "sum"}).first()[0] > 0
+
+
+def test_one_row_of_repeated_rows_stays(spark):
+    rng = random.Random(4)
+    a, b, e, f = (" ".join(f"word{rng.randint(0, 9999)}" for _ in range(120)) for _ in range(4))
+    rows = [(7, a), (7, a), (9, a), (None, b), (None, b), (3, e), (None, e + " end"), (4, f), (4, "another text of one id"), (5, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = c.common.stored(c.near_duplicates(spark, docs, ""), "near")
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=repr) == sorted([(7, a), (None, b), (3, e), (4, f), (4, "another text of one id"), (5, None)], key=repr)
+    left = c.repeated_passages(spark, near, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted([(7, a), (None, b), (3, e), (4, f), (4, "another text of one id")], key=repr)
