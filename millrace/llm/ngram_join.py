@@ -303,7 +303,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
                 got = tree.pairs(spanning)
                 if got:
                     i, j = np.array(got).T
-                    yield pa.RecordBatch.from_arrays([t.column("list").combine_chunks().take(pa.array(i)), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["list", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([t.column("of").combine_chunks().take(pa.array(i)), pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["of", "a", "b"])
 
         return task
 
@@ -319,7 +319,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], names=["a", "b", "ok"])
 
     def verified(members: DataFrame, spanning: bool) -> tuple[DataFrame, DataFrame]:
-        """(list, a, b) of the pairs that pass the bounds, and (a, b, ok) by their exact sets. members: list, node, root."""
+        """(of, a, b) of the pairs that pass the bounds, and (a, b, ok) by their exact sets. members: list, node, root. of: the list as members name it."""
+        members = members.withColumn("of", F.col("list"))
         size = members.groupBy("list").count().where(F.col("count") > BLOCK)
         if size.limit(1).count():
             # a long list: its members, dealt into blocks, meet as pairs of blocks
@@ -327,7 +328,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             m = m.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             members = m.withColumn("list", F.when(F.col("blocks") > 1, F.xxhash64("list", F.least("own", "with"), F.greatest("own", "with"))).otherwise(F.col("list"))).drop("count", "blocks", "own", "with").distinct()
         m = members.join(held, "node").repartition(parts, "list").sortWithinPartitions("list", "n", "node")
-        pairs = common.stored(m.mapInArrow(traverse(spanning), "list long, a long, b long").where("a <> b"), "gram-pairs")
+        pairs = common.stored(m.mapInArrow(traverse(spanning), "of long, a long, b long").where("a <> b"), "gram-pairs")
         once = common.stored(pairs.select("a", "b").distinct(), "gram-once")
         ends = common.checked_broadcast(common.stored(once.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "gram-ends"), 16)
         # texts are smaller than their sets of hashes
@@ -350,7 +351,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = ok.where("ok").select("a", "b")
     pairs, ok = verified(rooted(member, links), True)
     links = links.union(ok.where("ok").select("a", "b"))
-    failed = common.stored(pairs.join(ok.where("not ok"), ["a", "b"], "left_semi").select("list").distinct(), "gram-failed")
+    failed = common.stored(pairs.join(ok.where("not ok"), ["a", "b"], "left_semi").select(F.col("of").alias("list")).distinct(), "gram-failed")
     if failed.limit(1).count():
         _, ok = verified(rooted(member.join(failed, "list", "left_semi"), links), False)
         links = links.union(ok.where("ok").select("a", "b"))

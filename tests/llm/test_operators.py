@@ -50,6 +50,21 @@ def test_jaccard_join_edges(spark, docs):
     assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None)]
 
 
+def test_jaccard_join_repeats_long_lists(spark, monkeypatch):
+    # documents 50 to 55 link only with 99; they pass the bitmap bound with many of 0 to 23 too, which link with 99 and are met first. Every list has more than BLOCK members
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    rng = random.Random(11)
+    base = [f"base{i}" for i in range(300)]
+    rows = []
+    for d, n in ({i: 1 for i in range(24)} | {i: 6 for i in range(50, 56)} | {99: 0}).items():
+        w, at = list(base), rng.randint(4, 20)
+        for e in range(n):
+            w[at + 45 * e] = f"edit{d}x{e}"
+        rows.append((d, " ".join(w)))
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute.jaccard_join(rows, 4, 85) and {c for _, c in got.values()} == {0}
+
+
 def test_signature_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
