@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,18 +17,31 @@ OUT = "doc_id long, piece int, piece_tokens long, bin_id string, bin_capacity in
 def pack(sizes: list[int], capacities: tuple[int, ...], costs: tuple[float, ...] | None = None) -> list[tuple[int, int, int]]:
     """(bin, capacity, offset) for each size, none of them above the largest capacity.
 
-    Best-fit decreasing, jointly over the permitted lengths: a piece goes to the open bin it leaves least room in. If none has room, the bin size
-    is opened that costs least per token the piece and the smaller pieces still to come can fill: cost / min(capacity, tokens still to place), ties to the smaller.
-    At the end each bin is downsized to the smallest permitted length that holds its contents. Costs default to the lengths.
+    Best-fit decreasing, jointly over the permitted lengths: a piece goes to the open bin it leaves least room in. If none has room, a bin is opened at a
+    length that depends on the smallest length that holds the piece; at the end each bin is downsized to the smallest permitted length that holds its contents.
+    Every such choice of lengths is tried on all the pieces and the packing of least cost is taken, ties to the smaller lengths. Costs default to the lengths.
     """
     caps = sorted(capacities)
     cost = dict(zip(capacities, costs or [float(c) for c in capacities]))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    rest = sum(sizes)
+    used = sorted({bisect.bisect_left(caps, s) for s in sizes})
+    best = None
+    for pick in itertools.product(*[caps[k:] for k in used]):
+        opened = dict(zip(used, pick))
+        bins, fill = trial(sizes, order, {caps[k]: c for k, c in opened.items()}, caps)
+        size = [caps[bisect.bisect_left(caps, max(1, f))] for f in fill]
+        total = sum(cost[c] for c in size)
+        if best is None or total < best[0]:
+            best = total, bins, size
+    return [(b, best[2][b], o) for b, o in best[1]] if best else []
+
+
+def trial(sizes: list[int], order: list[int], opened: dict[int, int], caps: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """((bin, offset) for each size, fill of each bin) of best fit in the given order. opened: the length a bin is opened at, by the smallest that holds its first piece."""
     free: list[int] = []  # distinct room values of open bins, ascending
     at: dict[int, list[int]] = {}
     fill: list[int] = []
-    placed = [(0, 0, 0)] * len(sizes)
+    placed = [(0, 0)] * len(sizes)
     for i in order:
         s = sizes[i]
         k = bisect.bisect_left(free, s)
@@ -38,19 +52,17 @@ def pack(sizes: list[int], capacities: tuple[int, ...], costs: tuple[float, ...]
                 del at[room]
                 free.pop(k)
         else:
-            room = min((c for c in caps if c >= s), key=lambda c: (cost[c] / max(1, min(c, rest)), c))
+            room = opened[caps[bisect.bisect_left(caps, s)]]
             b = len(fill)
             fill.append(0)
-        placed[i] = (b, 0, fill[b])
+        placed[i] = (b, fill[b])
         fill[b] += s
-        rest -= s
         if room - s:
             if room - s not in at:
                 bisect.insort(free, room - s)
                 at[room - s] = []
             at[room - s].append(b)
-    size = [caps[bisect.bisect_left(caps, max(1, f))] for f in fill]
-    return [(b, size[b], o) for b, _, o in placed]
+    return placed, fill
 
 
 def best_fit(docs: DataFrame, size_col: str = "size", capacities: tuple[int, ...] = (512, 1024, 2048, 4096), costs: tuple[float, ...] | None = None, group_rows: int = 20_000) -> DataFrame:

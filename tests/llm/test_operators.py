@@ -146,6 +146,14 @@ def test_packing_fills_and_fits():
     assert sum(sizes) / sum(own[0][2] for own in bins.values()) > 0.95
 
 
+def test_packing_fills_skewed_sizes():
+    rng = random.Random(5)
+    for lo, hi in ((520, 699), (270, 399)):
+        sizes = [rng.randint(lo, hi) for _ in range(5000)]
+        bins = {b: cap for b, cap, _ in packing.pack(sizes, (512, 1024, 2048, 4096))}
+        assert sum(sizes) / sum(bins.values()) > 0.9
+
+
 def test_packing_query_keeps_every_token(spark):
     d = spark.createDataFrame([(1, 9000), (2, None), (None, 5), (3, 0), (3, 0)], "doc_id long, size long")
     got = packing.best_fit(d).collect()
