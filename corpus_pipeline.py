@@ -14,7 +14,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a posterior of at least a half stay; lang becomes the language told."""
+    """Documents whose language is told with a posterior of at least a half stay, those in another language or in none go; lang becomes the language told."""
     r = docs.withColumns({"id": F.col("doc_id"), "declared": F.col("lang"), "host": F.col("source")})
     out = language_id.identify(r, keep_text=True)
     return out.where("lid_kept").withColumn("lang", F.col("lid_lang")).select(*COLUMNS)

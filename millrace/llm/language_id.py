@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from . import common
 
 LANGS = ("de", "en", "es", "fr")
+#: The background class, for texts in any other language or in none.
+OTHER = "other"
 BUCKETS = 1 << 14
+#: Added to each count of a language: low, so that unseen trigrams speak for the background even where the sample is small.
+SMOOTH = 0.1
 #: A weight is this many times a log probability, rounded: sums of integers do not depend on how rows are batched.
 SCALE = 1000
 #: Bytes of text looked at together.
@@ -62,13 +66,14 @@ def declared_language(c: Column, langs: tuple[str, ...]) -> Column:
 
 
 def fit(records: DataFrame, langs: tuple[str, ...] = LANGS, rows: int = 4_000) -> np.ndarray:
-    """Naive-Bayes weights (BUCKETS x languages) from a bounded sample of labelled records: the `rows` smallest by hash of id and text.
+    """Naive-Bayes weights (BUCKETS x languages and the background) from a bounded sample of labelled records: the `rows` smallest by hash of id and text.
 
     The sample is cut by a hash value, so that texts are counted where they are read; a row per bucket and language reaches the driver.
+    The background is half uniform and half the languages' pooled counts, flattened, so that the trigrams that languages share do not speak for one of them.
     """
     lab = records.select(declared_language(F.col("declared"), langs).alias("l"), "text", F.xxhash64("id", "text").alias("h")).where(F.col("l").isin(*langs) & (F.length("text") > 2))
     cut = lab.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    counts = np.ones((BUCKETS, len(langs)))
+    counts = np.full((BUCKETS, len(langs)), SMOOTH)
     if cut is not None:
 
         def task(batches):
@@ -87,11 +92,13 @@ def fit(records: DataFrame, langs: tuple[str, ...] = LANGS, rows: int = 4_000) -
 
         for b, l, n in lab.where(F.col("h") <= cut).select("l", "text").mapInArrow(task, "b long, l long, n long").groupBy("b", "l").agg(F.sum("n")).collect():  # noqa: E741
             counts[b, l] += n
-    return np.round(SCALE * np.log(counts / counts.sum(axis=0))).astype(np.int32)
+    flat = ((counts - SMOOTH).sum(axis=1) + 1) ** 0.3
+    background = (flat / flat.sum() + 1 / BUCKETS) / 2
+    return np.round(SCALE * np.log(np.column_stack([counts / counts.sum(axis=0), background]))).astype(np.int32)
 
 
 def scored(records: DataFrame, weights: np.ndarray, langs: tuple[str, ...] = LANGS, keep_text: bool = False) -> DataFrame:
-    """records with lid_ll (weight sums per language) and lid_n (trigrams); text is dropped unless kept."""
+    """records with lid_ll (weight sums per language and of the background) and lid_n (trigrams); text is dropped unless kept."""
     rest = [f for f in records.schema.fields if keep_text or f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "lid_ll array<bigint>, lid_n bigint"])
     names = [f.name for f in rest]
@@ -99,7 +106,7 @@ def scored(records: DataFrame, weights: np.ndarray, langs: tuple[str, ...] = LAN
     def task(batches):
         for b in batches:
             sums, n = score_texts(b.column("text"), weights)
-            ll = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(langs), pa.int32()), pa.array(sums.ravel(), pa.int64()))
+            ll = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * weights.shape[1], pa.int32()), pa.array(sums.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), ll, pa.array(n, pa.int64())], names=[*names, "lid_ll", "lid_n"])
 
     return records.mapInArrow(task, schema)
@@ -125,9 +132,11 @@ def fuse(s: DataFrame, langs: tuple[str, ...] = LANGS, evidence: int = 50, kappa
     log posterior = text + declared + host prior. Text: the log likelihood, scaled down to at most `evidence` independent trigrams. Declared: P(tag | language),
     by grouped counts of tags against the text's best language, smoothed by alpha. Host prior: counts of the text's best language per host, smoothed
     towards its domain's, that towards its address suffix's and that towards all, kappa pseudo-documents each. Kept: some text, and
-    a posterior of at least `least`. A null or empty host has only the prior of all; a text under three bytes votes for nothing and is rejected.
+    a posterior of at least `least` for a language. The background is a class like the languages, but for its tags: mostly other or none, a hundredth
+    for each language; where it wins, lid_lang is OTHER and the record is rejected. A null or empty host has only the prior of all; a text under three bytes votes for nothing and is rejected.
     """
-    n = len(langs)
+    classes = (*langs, OTHER)
+    n = len(classes)
     best = F.array_position("lid_ll", F.array_max("lid_ll")).cast("int")
     v = (votes if votes is not None else s).where("lid_n > 0").select("host", declared_language(F.col("declared"), langs).alias("d"), best.alias("k"))
     v = common.stored(v.groupBy("host", "d").agg(*[F.count_if(F.col("k") == i + 1).alias(f"c{i}") for i in range(n)]), "language-votes")
@@ -136,6 +145,8 @@ def fuse(s: DataFrame, langs: tuple[str, ...] = LANGS, evidence: int = 50, kappa
     seen = {r[0]: list(r[1:]) for r in v.groupBy("d").agg(*[F.sum(c) for c in cs]).collect()}  # a row for each tag
     total = [sum(x[i] for x in seen.values()) for i in range(n)]
     tag_ll = {d: [float(np.log((seen.get(d, [0] * n)[i] + alpha) / (total[i] + alpha * len(tags)))) for i in range(n)] for d in tags}
+    for d in tags:
+        tag_ll[d][-1] = float(np.log(0.01 if d in langs else (1 - 0.01 * len(langs)) / 2))
     top = [(x + 1.0) / (sum(total) + n) for x in total]
     by_host = v.groupBy("host").agg(*[F.sum(c).cast("double").alias(c) for c in cs]).where("host is not null and host <> ''").withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
 
@@ -155,8 +166,8 @@ def fuse(s: DataFrame, langs: tuple[str, ...] = LANGS, evidence: int = 50, kappa
     j = j.withColumn("lid_post", F.array(*[F.get("lid_ll", F.lit(i)) * F.col("lid_scale") + F.get("lid_tag", F.lit(i)) + F.get("lid_prior", F.lit(i)) for i in range(n)]))
     j = j.withColumn("lid_top", F.array_max("lid_post"))
     p = F.lit(1.0) / F.aggregate(F.transform("lid_post", lambda x: F.exp(x - F.col("lid_top"))), F.lit(0.0), lambda a, x: a + x)
-    lang = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("lid_post", F.col("lid_top")).cast("int"))
-    return j.withColumns({"lid_lang": lang, "lid_p": p}).withColumn("lid_kept", (F.col("lid_n") > 0) & (F.col("lid_p") >= least)).drop("lid_tag", "lid_prior", "lid_scale", "lid_post", "lid_top")
+    lang = F.element_at(F.array(*[F.lit(x) for x in classes]), F.array_position("lid_post", F.col("lid_top")).cast("int"))
+    return j.withColumns({"lid_lang": lang, "lid_p": p}).withColumn("lid_kept", (F.col("lid_n") > 0) & (F.col("lid_p") >= least) & (F.col("lid_lang") != OTHER)).drop("lid_tag", "lid_prior", "lid_scale", "lid_post", "lid_top")
 
 
 def identify(records: DataFrame, langs: tuple[str, ...] = LANGS, keep_text: bool = False, fit_rows: int = 4_000, **how) -> DataFrame:

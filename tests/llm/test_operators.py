@@ -203,6 +203,25 @@ def test_language_id(spark):
     assert language_id.identify(r.limit(0)).count() == 0
 
 
+def test_language_id_rejects_other_languages_and_junk(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    other = [
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+        "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência.",
+        "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "人人生而自由,在尊严和权利上一律平等。",
+        "4785380592391139 88 12 99381 77 0012 5550 1234 9876 4321",
+        "### $$$ %%% &&& *** @@@ !!! ??? ~~~ ^^^ ### || || ++",
+    ]
+    extra = spark.createDataFrame([(-1 - i, t, tag, None) for i, t in enumerate(other) for tag in (None, "xx")], d.schema)
+    got = language_id.identify(d.union(extra)).collect()
+    assert not [(x.id, x.lid_lang, x.lid_p) for x in got if x.id < 0 and x.lid_kept]
+    own = [x for x in got if x.id >= 0 and x.lid_n > 0]
+    assert sum(x.lid_kept for x in own) / len(own) > 0.97
+
+
 def test_license_scan(spark):
     rows = [(1, "some code\nReleased under the MIT License.\n", "a/b/x.txt"), (2, "Licensed under the Apache License, Version 2.0.", "a/LICENSE"), (3, "nothing here", "a/b/c/y.txt"), (4, "nothing", "z/q.txt"), (5, None, "a/n.txt"), (6, "the the under", None), (3, "nothing here", "a/b/c/y.txt")]
     got = {r.doc_id: (r.lic_own, r.lic_license, r.lic_inherited_from) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
