@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only if its measured rows times its row width stay under this.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch, so that a run of long texts fits in a worker's memory.
+BATCH_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:
@@ -25,23 +32,83 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset a local master gets a temporary one; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
     return root.rstrip("/")
 
 
+_local: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again: lineage is cut there and a lost executor costs nothing done before."""
+    """The frame written to the shared folder and read again: lineage is cut there and a lost executor costs nothing done before.
+
+    While it is written, Python workers get batches of at most BATCH_BYTES. discard() deletes what is no longer read.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with batches_of(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of stored frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, most: int = BATCH_BYTES):
+    """Within it Arrow batches hold at most so many bytes; the session's own setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def slices(batches, column: str, most: int = BATCH_BYTES):
+    """Record batches cut into slices whose text or binary column has about `most` bytes; a longer row is a slice of its own."""
+    for b in batches:
+        if b.nbytes <= most:
+            yield b
+            continue
+        at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def lean(task):
+    """A mapInArrow task after which the worker, which Spark keeps for later ones, gives freed memory back."""
+
+    def run(batches):
+        import ctypes
+
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
 
 
 def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -49,13 +116,6 @@ def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTE
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Python workers get texts in batches of at most so many rows, so that a run of long ones fits in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,19 +124,15 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b long): root is the smallest node reachable.
 
     Alternating large-star and small-star contraction; each round is a pre-aggregated minimum over neighbours and is
-    stored, so no round recomputes another. Rounds grow with the logarithm of a component's diameter.
+    stored, so no round recomputes another. It ends when each node has one smaller neighbour, which has none itself. Rounds grow with the logarithm of a component's diameter.
     """
     e = stored(edges.where("a <> b").selectExpr("greatest(a, b) hi", "least(a, b) lo").distinct(), "edges")
-    before = None
-    while True:
-        both = e.union(e.selectExpr("lo hi", "hi lo")).toDF("u", "v")
+    while e.selectExpr("inline(array(struct(hi as node, 1 as up, 0 as down), struct(lo as node, 0 as up, 1 as down)))").groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").limit(1).count():
+        both = e.selectExpr("inline(array(struct(hi as u, lo as v), struct(lo as u, hi as v)))")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").selectExpr("v hi", "m lo").where("hi <> lo").distinct()
+        large = both.where("v > u").join(low, "u").selectExpr("v hi", "m lo").where("hi <> lo")
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        e = stored(small, "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.count_distinct("hi")).first())
-        if now == before or now[0] == now[2] and not e.join(e.selectExpr("lo hi").distinct(), "hi", "left_semi").limit(1).count():
-            break
-        before = now
+        e, old = stored(small, "edges"), e
+        discard(old)
     return e.toDF("node", "root").union(e.select(F.col("lo"), F.col("lo")).distinct())

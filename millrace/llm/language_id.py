@@ -18,7 +18,7 @@ SMOOTH = 0.1
 #: A weight is this many times a log probability, rounded: sums of integers do not depend on how rows are batched.
 SCALE = 1000
 #: Bytes of text looked at together.
-STEP = 2 << 20
+STEP = 512 << 10
 LOWER = np.arange(256, dtype=np.uint32)
 LOWER[65:91] += 32
 
@@ -30,14 +30,14 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     return code >> np.uint32(18)
 
 
-def chunks(col: pa.Array):
-    """(first row, row bounds, bytes) for runs of rows of about STEP bytes in a string column; null is empty."""
+def chunks(col: pa.Array, step: int = STEP):
+    """(first row, row bounds, bytes) for runs of rows of about `step` bytes in a string column; null is empty."""
     col = col.cast(pa.large_binary())
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(col):
-        end = max(at + 1, int(np.searchsorted(off, off[at] + STEP, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(off, off[at] + step, "right")) - 1)
         yield at, off[at : end + 1] - off[at], data[off[at] : off[end]]
         at = end
 
@@ -77,7 +77,7 @@ def fit(records: DataFrame, langs: tuple[str, ...] = LANGS, rows: int = 4_000) -
     if cut is not None:
 
         def task(batches):
-            for b in batches:
+            for b in common.slices(batches, "text"):
                 col, names = b.column("text"), b.column("l").to_pylist()
                 got = np.zeros((BUCKETS, len(langs)), np.int64)
                 for at, bounds, data in chunks(col):
@@ -90,7 +90,7 @@ def fit(records: DataFrame, langs: tuple[str, ...] = LANGS, rows: int = 4_000) -
                 b_, l_ = np.nonzero(got)
                 yield pa.RecordBatch.from_arrays([pa.array(b_, pa.int64()), pa.array(l_, pa.int64()), pa.array(got[b_, l_], pa.int64())], names=["b", "l", "n"])
 
-        for b, l, n in lab.where(F.col("h") <= cut).select("l", "text").mapInArrow(task, "b long, l long, n long").groupBy("b", "l").agg(F.sum("n")).collect():  # noqa: E741
+        for b, l, n in lab.where(F.col("h") <= cut).select("l", "text").mapInArrow(common.lean(task), "b long, l long, n long").groupBy("b", "l").agg(F.sum("n")).collect():  # noqa: E741
             counts[b, l] += n
     flat = ((counts - SMOOTH).sum(axis=1) + 1) ** 0.3
     background = (flat / flat.sum() + 1 / BUCKETS) / 2
@@ -104,12 +104,12 @@ def scored(records: DataFrame, weights: np.ndarray, langs: tuple[str, ...] = LAN
     names = [f.name for f in rest]
 
     def task(batches):
-        for b in batches:
+        for b in common.slices(batches, "text"):
             sums, n = score_texts(b.column("text"), weights)
             ll = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * weights.shape[1], pa.int32()), pa.array(sums.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), ll, pa.array(n, pa.int64())], names=[*names, "lid_ll", "lid_n"])
 
-    return records.mapInArrow(task, schema)
+    return records.mapInArrow(common.lean(task), schema)
 
 
 def host_of(url: Column) -> Column:
@@ -176,7 +176,6 @@ def identify(records: DataFrame, langs: tuple[str, ...] = LANGS, keep_text: bool
     With keep_text the text is scored twice, for the votes and for the verdicts, and never shuffled or stored; without it the scores are stored once.
     Null or empty texts are rejected, repeated rows judged alike, an empty table gives an empty result.
     """
-    common.text_batches(records.sparkSession)
     weights = fit(records, langs, fit_rows)
     if keep_text:
         votes = scored(records.select("text", "declared", "host"), weights, langs)

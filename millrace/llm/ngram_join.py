@@ -22,6 +22,9 @@ BASE = 0x100000001B3
 INV = pow(BASE, -1, 1 << 64)
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes of text hashed together, and entries of the tables of powers.
+STEP = 256 << 10
+KEPT = 1 << 19
 #: Members of one task's list; longer lists are dealt out as pairs of blocks.
 BLOCK = 4096
 
@@ -39,8 +42,11 @@ _cache: dict[int, np.ndarray] = {}
 
 
 def powers(x: int, n: int) -> np.ndarray:
-    if x not in _cache or len(_cache[x]) < n:
-        _cache[x] = _powers(x, max(n, 1 << 22))
+    """x to the powers 0 to n - 1, modulo 2 to the 64th; tables longer than a run are not kept."""
+    if n > KEPT:
+        return _powers(x, n)
+    if x not in _cache:
+        _cache[x] = _powers(x, KEPT)
     return _cache[x][:n]
 
 
@@ -50,25 +56,48 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of texts that lie one after another in data; bounds are their ends, 0 first."""
+    low = LOWER[data].astype(np.uint64)
+    space = SPACES[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    start = np.flatnonzero(~space & (edge[:-1] | np.concatenate([[True], space[:-1]])))
+    end = np.flatnonzero(~space & (edge[1:] | np.concatenate([space[1:], [True]]))) + 1
+    low += np.uint64(1)
+    low *= powers(INV, len(low))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low, dtype=np.uint64)])
+    return start, mix((total[end] - total[start]) * powers(BASE, len(low))[start] + (end - start).astype(np.uint64) * MUL)
+
+
+def long_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one long text, which is cut at white space into pieces of about STEP bytes."""
+    out, lo = [], 0
+    while lo < len(data):
+        hi = lo + STEP
+        while hi < len(data) and not SPACES[data[hi - 1]]:
+            near = np.flatnonzero(SPACES[data[hi : hi + STEP]])
+            hi = hi + int(near[0]) + 1 if len(near) else hi + STEP
+        piece = data[lo:hi]
+        out.append(word_hashes(piece, np.array([0, len(piece)]))[1])
+        lo = hi
+    return np.concatenate(out)
+
+
 def sets(col: pa.Array, k: int):
     """(row, sorted distinct 64-bit hashes of its k-word grams) for each row with a word; whole texts, letters A-Z lower-cased."""
-    for at, bounds, data in chunks(col):
+    for at, bounds, data in chunks(col, STEP):
         if not len(data):
             continue
-        low = LOWER[data].astype(np.uint64)
-        space = SPACES[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[bounds[bounds < len(data)]] = True
-        start = np.flatnonzero(~space & (edge[:-1] | np.concatenate([[True], space[:-1]])))
-        edge[:] = False
-        edge[bounds] = True
-        end = np.flatnonzero(~space & (edge[1:] | np.concatenate([space[1:], [True]]))) + 1
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low + np.uint64(1)) * powers(INV, len(low)), dtype=np.uint64)])
-        h = mix((total[end] - total[start]) * powers(BASE, len(low))[start] + (end - start).astype(np.uint64) * MUL)
-        first = np.searchsorted(start, bounds)
+        if len(data) > 2 * STEP:  # then it is one text
+            h = long_hashes(data)
+            bounds, first = bounds[[0, -1]], np.array([0, len(h)])
+        else:
+            start, h = word_hashes(data, bounds)
+            first = np.searchsorted(start, bounds)
         gram = h.copy()
         for j in range(1, k):
-            gram[: len(h) - j] = mix(gram[: len(h) - j] * np.uint64(5) + h[j:] + np.uint64(j))
+            gram[: max(0, len(h) - j)] = mix(gram[: max(0, len(h) - j)] * np.uint64(5) + h[j:] + np.uint64(j))
         for i in range(len(bounds) - 1):
             a, b = first[i], first[i + 1]
             if b - a >= k:
@@ -217,7 +246,7 @@ def features(docs: DataFrame, k: int, percent: int, common_grams: np.ndarray) ->
                 pre[i] = s[:want].astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns), pa.array(s1), pa.array(s2), pa.array(pre, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n long, s1 long, s2 long, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(task), "doc_id long, n long, s1 long, s2 long, prefix array<bigint>")
 
 
 def frequent(docs: DataFrame, k: int, rows: int = 8_192, least: int = 8) -> np.ndarray:
@@ -233,7 +262,7 @@ def frequent(docs: DataFrame, k: int, rows: int = 8_192, least: int = 8) -> np.n
             for _, s in sets(b.column("text"), k):
                 yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64))], names=["g"])
 
-    g = docs.where("text is not null").where(h <= cut).select("text").mapInArrow(task, "g long").groupBy("g").count().where(F.col("count") >= least).select("g").toArrow()
+    g = docs.where("text is not null").where(h <= cut).select("text").mapInArrow(common.lean(task), "g long").groupBy("g").count().where(F.col("count") >= least).select("g").toArrow()
     return np.sort(g.column("g").to_numpy().astype(np.uint64))
 
 
@@ -246,13 +275,13 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members is dealt out as pairs of blocks. A traversal takes a pair that passes the bounds for joined, so that a large group of copies gives a spanning
     tree and not all its pairs; lists in which such a pair fails verification are traversed again for all pairs not joined by then.
     """
-    common.text_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = common.task_count(spark)
     f = common.stored(features(docs, k, percent, frequent(docs, k)), "gram-features")
     live = f.where("n > 0 and doc_id is not null")
     same = live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("s1", "s2", "rep")
     same = common.checked_broadcast(common.stored(same, "gram-classes"), 80)
+    work: list[DataFrame] = []  # stored frames that the result does not read
     reps = live.join(same, ["s1", "s2"], "left").where("rep is null or rep = doc_id")
     grams = reps.select(F.explode("prefix").alias("gram"), F.col("doc_id").alias("node")).repartition(parts, "gram").sortWithinPartitions("gram", "node")
 
@@ -279,8 +308,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             keep &= size > 1
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, size)[np.repeat(keep, size)]), pa.array(x[1][np.repeat(keep, size)])], names=["list", "node"])
 
-    member = common.stored(grams.mapInArrow(lists, "list long, node long").distinct(), "gram-lists")
-    nodes = common.checked_broadcast(common.stored(member.select("node").distinct(), "gram-nodes"), 16)
+    member = common.stored(grams.mapInArrow(common.lean(lists), "list long, node long").distinct(), "gram-lists")
+    work += [member, common.stored(member.select("node").distinct(), "gram-nodes")]
+    nodes = common.checked_broadcast(work[-1], 16)
 
     def signatures(batches):
         for b in batches:
@@ -289,8 +319,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
                 rows.append(i), ns.append(len(s)), maps.append(bitmap(s).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(ns, pa.int64()), pa.array(maps, pa.binary())], names=["node", "n", "bits"])
 
-    held = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").mapInArrow(signatures, "node long, n long, bits binary")
+    held = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").mapInArrow(common.lean(signatures), "node long, n long, bits binary")
     held = common.stored(held, "gram-signatures")
+    work.append(held)
 
     def traverse(spanning: bool):
         def task(batches):
@@ -308,12 +339,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return task
 
     def compare(batches):
-        for b in batches:
+        for b in common.slices(batches, "x", STEP):
             ok = np.zeros(b.num_rows, bool)
-            other = dict(sets(b.column("y"), k))
+            other = sets(b.column("y"), k)
+            at, y = -1, None
             for i, x in sets(b.column("x"), k):
-                y = other.get(i)
-                if y is not None:
+                while at < i:
+                    at, y = next(other, (b.num_rows, None))
+                if at == i:
                     n = len(np.intersect1d(x, y, True))
                     ok[i] = 100 * n >= percent * (len(x) + len(y) - n)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], names=["a", "b", "ok"])
@@ -328,19 +361,24 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             m = m.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             members = m.withColumn("list", F.when(F.col("blocks") > 1, F.xxhash64("list", F.least("own", "with"), F.greatest("own", "with"))).otherwise(F.col("list"))).drop("count", "blocks", "own", "with").distinct()
         m = members.join(held, "node").repartition(parts, "list").sortWithinPartitions("list", "n", "node")
-        pairs = common.stored(m.mapInArrow(traverse(spanning), "of long, a long, b long").where("a <> b"), "gram-pairs")
+        pairs = common.stored(m.mapInArrow(common.lean(traverse(spanning)), "of long, a long, b long").where("a <> b"), "gram-pairs")
         once = common.stored(pairs.select("a", "b").distinct(), "gram-once")
-        ends = common.checked_broadcast(common.stored(once.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "gram-ends"), 16)
+        found = common.stored(once.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "gram-ends")
+        ends = common.checked_broadcast(found, 16)
         # texts are smaller than their sets of hashes
         texts = docs.join(ends, docs["doc_id"] == ends["node"], "left_semi").select("doc_id", "text")
         both = once.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        ok = both.mapInArrow(compare, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
-        return pairs, common.stored(ok, "gram-verdicts")
+        ok = both.mapInArrow(common.lean(compare), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
+        ok = common.stored(ok, "gram-verdicts")
+        common.discard(once, found)
+        work.extend((pairs, ok))
+        return pairs, ok
 
     def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
         """Members of the lists that hold more than one component as yet, each with its root."""
         m = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         m = common.stored(m, "gram-rooted")
+        work.append(m)
         open_ = m.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
         return m.join(open_, "list", "left_semi")
 
@@ -352,11 +390,13 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs, ok = verified(rooted(member, links), True)
     links = links.union(ok.where("ok").select("a", "b"))
     failed = common.stored(pairs.join(ok.where("not ok"), ["a", "b"], "left_semi").select(F.col("of").alias("list")).distinct(), "gram-failed")
+    work.append(failed)
     if failed.limit(1).count():
         _, ok = verified(rooted(member.join(failed, "list", "left_semi"), links), False)
         links = links.union(ok.where("ok").select("a", "b"))
     root = components(links).toDF("rep", "root")
     root = common.checked_broadcast(common.stored(root, "gram-roots"), 32)
+    common.discard(*work)
     out = f.select("doc_id", "n", "s1", "s2").join(same.withColumnRenamed("rep", "cls"), ["s1", "s2"], "left")
     out = out.withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")).otherwise(F.col("doc_id"))).join(root, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))

@@ -73,14 +73,13 @@ def count(docs: DataFrame, separator: str = "\n", rule: str = "majority", vocabu
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    common.text_batches(docs.sparkSession)
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), OUT])
     sep = separator.encode()
 
     def task(batches):
         enc = Encoder(vocabulary)
-        for b in batches:
+        for b in common.slices(batches, "text"):
             n, size, secs, cross = [], [], [], []
             for x in b.column("text"):
                 t = x.as_py()

@@ -167,7 +167,6 @@ def archive_pages(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFr
     are responses too. Equality is that of SHA-1 and length. Payloads that occur once, which is most, never leave their partition if the
     table of repeated ones is small enough to broadcast.
     """
-    common.text_batches(pages.sparkSession)
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumns({"sha": F.sha1("payload"), "n": F.octet_length("payload")})
     first = p.where(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha", "n", "first")
