@@ -1,11 +1,14 @@
 """Exact substring dedup by merged Burrows-Wheeler transforms.
 
 A string of `length` bytes that starts in two places holds the same anchor in both: of the GRAM-byte grams in it, the one with the smallest hash
-(winnowing). So only suffixes that start at an anchor whose gram occurs again can start, at some distance, a repeat; all others are settled without being
-sorted. Each shard (a run of documents in a task) sorts its own suffixes at such anchors and keeps, as the transform does, what precedes each. Shards are merged per anchor
-by iterative interleave refinement: the interleave of the shards' sorted suffixes is refined one symbol at a time, stable within
-each block, so that order inside a shard is never computed again; block borders at depth h are where the common prefix is shorter than h. The preceding
-bytes are refined in the same way, backwards. A repeat at distance o before the anchor is a block of depth length - o whose members also share o preceding bytes.
+(winnowing). So only suffixes near an anchor whose gram occurs again can start a repeat; all others are settled without being sorted.
+
+Each shard (the texts of an Arrow batch) sorts its suffixes at such anchors once and sends, in that order, their columns of two transforms: the bytes before them,
+which the transform of the text yields at successive LF steps, and the bytes after, which the transform of the reversed text yields. Shards are merged per
+anchor by iterative interleave refinement: the interleave of their sorted lists is split symbol by symbol, stably within each block, and the depth at which two
+neighbours part is their common prefix. Then LF steps lead from the suffixes at the anchor to those one byte further left: a block splits by the preceding
+byte, stably, and the common prefix of new neighbours is one more than the least between them. So no other column is sorted, and at each column the neighbours
+whose common prefix reaches `length` are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from pyspark.sql import functions as F
 from . import common
 from .ngram_join import BASE, INV, mix, powers
 
-#: Bytes of an anchor; of the bytes looked at together; and suffixes refined together.
+#: Bytes of an anchor; of the bytes looked at together; suffixes refined together; and suffixes of an anchor that are dealt out over several tasks.
 GRAM = 100
-STEP = 2 << 20
+STEP = 256 << 10
 BATCH = 16_384
+HOT = 4_096
 
 
 def pieces(col: pa.Array, overlap: int):
@@ -73,68 +77,99 @@ def anchors(parts: list[bytes], length: int, gram: int = GRAM):
     return part, at - bounds[part], h[at]
 
 
-def refine(blocks: np.ndarray, symbol, depth: int):
-    """Yields the blocks at depths 0 to depth of suffixes given in shard order: ids by suffix, -1 for one that is alone.
-
-    blocks: ids to begin with, ascending in the given order. symbol(rows, h): the symbols at depth h. A step splits each block by its members' next symbol,
-    stably; members of a block of one are settled and leave the interleave.
-    """
-    out = np.full(len(blocks), -1, np.int32)
-    z = np.argsort(blocks, kind="stable")
-    key = blocks[z].astype(np.int64)
-    for h in range(depth + 1):
-        if len(z):
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            ids = np.cumsum(new) - 1
-            many = np.bincount(ids)[ids] > 1
-            if not many.all():
-                out[z[~many]] = -1
-                z, ids = z[many], ids[many]
-            out[z] = ids
-        yield out
-        if h < depth and len(z):
-            key = ids.astype(np.int64) * 512 + symbol(z, h)
-            if (key[1:] < key[:-1]).any():
-                by = np.argsort(key, kind="stable")
-                z, key = z[by], key[by]
-
-
-def repeats(groups: np.ndarray, left: list[bytes], right: list[bytes], twice: np.ndarray, length: int, gram: int = GRAM):
-    """(row, least distance, largest distance) of runs of distances o at which a string of `length` bytes starts that also starts elsewhere.
-
-    Row i is a suffix right[i] preceded by left[i]; rows of a group share an anchor and come in the order of their shards.
+def parted(blocks: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """One refinement step over rows in order. blocks: ascending ids; symbols: each row's next one. (places of the rows whose blocks hold unlike symbols, the places
+    that these rows come from when each such block is split stably, which of them begin a part); None if no block splits."""
+    unlike = (blocks[1:] == blocks[:-1]) & (symbols[1:] != symbols[:-1])
+    if not unlike.any():
+        return None
+    mixed = np.zeros(int(blocks[-1]) + 1, bool)
+    mixed[blocks[1:][unlike]] = True
+    at = np.flatnonzero(mixed[blocks])
+    key = blocks[at] * (int(symbols.max()) + 1) + symbols[at]
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    return at, at[by], np.concatenate([[True], key[1:] != key[:-1]])
+
+
+def interleave(groups: np.ndarray, symbol, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common prefix with the one before; -1 at the first of a group) of suffixes that come by group, each shard's in its order, and share `lo` bytes in a
+    group. symbol(rows, h): their bytes at depth h. Common prefixes end at hi."""
+    z = np.arange(len(groups))
+    lcp = np.full(len(groups), hi, np.int32)
+    lcp[np.concatenate([[True], groups[1:] != groups[:-1]])] = -1
+    live = np.arange(len(groups))
+    for h in range(lo, hi):
+        begins = lcp[live] != hi
+        begins[:1] = True
+        ids = np.cumsum(begins) - 1
+        many = np.bincount(ids)[ids] > 1 if len(ids) else np.zeros(0, bool)
+        live, ids = live[many], ids[many]
+        if not len(live):
+            break
+        got = parted(ids, symbol(z[live], h))
+        if got is not None:
+            at, by, begins = got
+            z[live[at]] = z[live[by]]
+            fresh = live[at][begins]
+            lcp[fresh] = np.where(lcp[fresh] == hi, h, lcp[fresh])
+    return z, lcp
+
+
+def repeats(groups: np.ndarray, left: list[bytes], right: list[bytes], twice: np.ndarray, length: int, a: int, b: int):
+    """(row, least distance, largest distance) of runs of distances a <= o <= b before the anchor at which a string of `length` bytes starts that also starts elsewhere.
+
+    Row i is a suffix right[i] preceded by left[i]; rows of a group share a bytes before and length - b after the anchor, and come in the order of their shards.
     A row that stands for several equal suffixes is marked twice: all its strings repeat.
     """
-    reach = length - gram
-    n = len(groups)
+    n, top = len(groups), length - a
     nl, nr = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    r = np.frombuffer(b"".join(x.ljust(length, b"\0") for x in right), np.uint8).reshape(n, length).T.astype(np.int16)
-    l = np.frombuffer(b"".join(x.rjust(reach, b"\0") for x in left), np.uint8).reshape(n, reach)[:, ::-1].T.astype(np.int16)  # noqa: E741
-    for h in range(length):
-        r[h, nr <= h] = 256  # past the text's end
-    for h in range(reach):
-        l[h, nl <= h] = 256
-    starts = np.unique(groups, return_inverse=True)[1]
-    deep = np.empty((reach + 1, n), np.int32)
-    for h, ids in enumerate(refine(starts, lambda z, h: r[h, z], length)):
-        if h >= gram:
-            deep[h - gram] = ids
-    flags = np.zeros((reach + 2, n), bool)
-    for o, ids in enumerate(refine(starts, lambda z, h: l[h, z], reach)):
-        ok = np.flatnonzero((ids >= 0) & (deep[reach - o] >= 0) & (nl >= o) & (nr >= length - o))
-        if len(ok):
-            key = deep[reach - o, ok].astype(np.int64) * n + ids[ok]
-            by = np.argsort(key, kind="stable")
-            same = key[by[1:]] == key[by[:-1]]
-            flags[o, ok[by[1:][same]]] = flags[o, ok[by[:-1][same]]] = True
-    o = np.arange(reach + 2)[:, None]
-    flags |= twice & (o <= np.minimum(nl, reach)) & (o >= length - nr)
-    step = np.diff(flags.astype(np.int8), axis=0, prepend=0)
-    row, lo = np.nonzero(step.T == 1)
-    hi = np.nonzero(step.T == -1)[1] - 1
+    r = np.ascontiguousarray(np.frombuffer(b"".join(x[:top].ljust(top, b"\0") for x in right), np.uint8).reshape(n, top).T)
+    l = np.ascontiguousarray(np.frombuffer(b"".join(x[-b:].rjust(b, b"\0") for x in left) if b else b"", np.uint8).reshape(n, b)[:, ::-1].T)  # noqa: E741
+
+    def symbol(bytes_, sizes):
+        # past a text's edge nothing is equal to anything
+        return lambda rows, h: np.where(sizes[rows] > h, bytes_[h, rows].astype(np.int64), 256 + rows)
+
+    z, lcp = interleave(groups, symbol(r, nr), length - b, top)
+    flags = np.zeros((b + 2, n), bool)
+    step = symbol(l, nl)
+    for o in range(a, b + 1):
+        same = np.flatnonzero(lcp >= length - o)
+        flags[o, z[same]] = flags[o, z[same - 1]] = True
+        if o == b:
+            break
+        ids = np.cumsum(lcp < 0) - 1
+        got = parted(ids, step(z, o)) if len(z) else None
+        if got is not None:
+            at, by, begins = got
+            # the common prefix of new neighbours: the least between their old places
+            least = np.append(lcp, 0)
+            k = np.flatnonzero(~begins)
+            new = np.full(len(at), -1, np.int32)
+            if len(k):
+                new[k] = np.minimum.reduceat(least, np.stack([by[k - 1] + 1, by[k] + 1], 1).ravel())[::2]
+            z[at], lcp[at] = z[by], new
+        alone = (lcp < 0) & np.append(lcp[1:] < 0, True)
+        if alone.any():
+            z, lcp = z[~alone], lcp[~alone]
+    o = np.arange(b + 2)[:, None]
+    flags |= twice & (o >= a) & (o <= np.minimum(nl, b)) & (o >= length - nr)
+    edge = np.diff(flags.astype(np.int8), axis=0, prepend=0)
+    row, lo = np.nonzero(edge.T == 1)
+    hi = np.nonzero(edge.T == -1)[1] - 1
     return row, lo, hi
 
 
+def bands(reach: int) -> list[tuple[int, int]]:
+    """Ranges of distances, each about four times as wide as the one before, that together make 0 to reach."""
+    out, a, b = [], 0, 0
+    while a <= reach:
+        out.append((a, min(b, reach)))
+        a, b = b + 1, 4 * b + 6
+    return out
+
+
 def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     """(copies, marks), stored. copies: the keys (MD5) of texts that several rows have, rep: the smallest doc_id among them. marks: for other texts' keys
     the byte ranges `ranges` (start, end) covered by a string of `length` bytes that also starts elsewhere."""
@@ -156,7 +191,7 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), b.column("key").take(pa.array(np.array(rows, np.int64)[part])), pa.array(at + np.array(offs, np.int64)[part]), pa.array(lead), pa.array(count[which] > 1)], names=["anchor", "key", "at", "lead", "twice"])
 
     # an anchor that comes often in the texts looked at together goes on once from there
-    seen = common.stored(single.mapInArrow(find, "anchor long, key binary, at long, lead boolean, twice boolean"), "anchors")
+    seen = common.stored(single.mapInArrow(common.lean(find), "anchor long, key binary, at long, lead boolean, twice boolean"), "anchors")
     found = seen.where("lead").select("anchor", "key", "at").repartition(parts, "anchor").sortWithinPartitions("anchor")
 
     def again(batches):
@@ -178,7 +213,7 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
             out = t.slice(0, end).filter(pa.array(keep[:end]))
             yield from out.select(["key", "at"]).to_batches()
 
-    hits = found.mapInArrow(again, "key binary, at long").union(seen.where("twice").select("key", "at")).groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    hits = found.mapInArrow(common.lean(again), "key binary, at long").union(seen.where("twice").select("key", "at")).groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     hits = common.stored(hits, "anchor-hits")
     reach = length - GRAM
 
@@ -204,42 +239,71 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["grp", "suffix", "key", "at", "left", "right", "twice"])
 
-    shards = single.join(hits, "key").mapInArrow(cut, "grp long, suffix long, key binary, at long, left binary, right binary, twice boolean")
+    shards = single.join(hits, "key").mapInArrow(common.lean(cut), "grp long, suffix long, key binary, at long, left binary, right binary, twice boolean")
     shards = common.stored(shards, "shard-suffixes")
-    merged = shards.where("left is not null").select("grp", "suffix", "left", "right", "twice").repartition(parts, "grp").sortWithinPartitions("grp", "suffix")
+    own = shards.where("left is not null").select("grp", "suffix", "left", "right", "twice")
+    many = common.stored(own.groupBy("grp").count().where(F.col("count") > HOT).select("grp"), "hot-anchors")
+    hot_groups = common.checked_broadcast(many, 8)
+    cool = own.join(hot_groups, "grp", "left_anti").select(F.lit(0).alias("a"), F.lit(reach).alias("b"), "grp", "suffix", "left", "right", "twice")
+    # a hot anchor is dealt out by what precedes and follows it: strings that start at a distance of a to b share a bytes before and length - b after the anchor.
+    # Suffixes with the same b bytes before and length - a after are one within such a band
+    near = F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in bands(reach)]))
+    hot = own.join(hot_groups, "grp", "left_semi").withColumn("band", near).select("grp", "suffix", "left", "right", "twice", "band.a", "band.b")
+    hot = hot.where((F.octet_length("left") >= F.col("a")) & (F.octet_length("right") >= length - F.col("b")))
+    last = lambda c, n: F.substring(c, F.greatest(F.octet_length(c) - n + 1, F.lit(1)), n)
+    hot = hot.select("a", "b", F.xxhash64("grp", "a", last(F.col("left"), F.col("a")), F.substring("right", F.lit(1), length - F.col("b"))).alias("grp"), "suffix", last(F.col("left"), F.col("b")).alias("left"), F.substring("right", F.lit(1), length - F.col("a")).alias("right"), "twice")
+    hot = hot.withColumn("same", F.unhex(F.md5(F.concat(F.octet_length("left").cast("string").cast("binary"), F.lit(":").cast("binary"), "left", "right"))))
+    hot = common.stored(hot, "hot-suffixes")
+    stand = hot.groupBy("a", "b", "grp", "same").agg(F.min("suffix").alias("suffix"), F.min("left").alias("left"), F.min("right").alias("right"), ((F.count("*") > 1) | F.max("twice")).alias("twice"))
+    merged = cool.unionAll(stand.select(cool.columns)).repartition(parts, "grp", "a").sortWithinPartitions("a", "b", "grp", "suffix")
 
     def merge(batches):
-        held, size = [], 0
+        held, size, band = [], 0, None
 
         def flush():
             t = pa.concat_tables(held)
-            row, lo, hi = repeats(t.column("grp").to_numpy(), t.column("left").to_pylist(), t.column("right").to_pylist(), t.column("twice").to_numpy(), length)
-            return pa.RecordBatch.from_arrays([t.column("suffix").combine_chunks().take(pa.array(row)), pa.array(lo), pa.array(hi)], names=["suffix", "lo", "hi"])
+            row, lo, hi = repeats(t.column("grp").to_numpy(), t.column("left").to_pylist(), t.column("right").to_pylist(), t.column("twice").to_numpy(), length, *band)
+            rows = pa.array(row)
+            return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(rows) for c in ("a", "grp", "suffix")] + [pa.array(lo), pa.array(hi)], names=["a", "grp", "suffix", "lo", "hi"])
 
         for t in blocks(batches):
-            held.append(t)
-            size += len(t)
-            if size >= BATCH:
+            own = (t.column("a")[0].as_py(), t.column("b")[0].as_py())
+            if held and (size >= BATCH or own != band):
                 yield flush()
                 held, size = [], 0
+            band = own
+            held.append(t)
+            size += len(t)
         if held:
             yield flush()
 
-    runs_ = merged.mapInArrow(merge, "suffix long, lo long, hi long")
-    ranges = shards.select("suffix", "key", "at").join(runs_, "suffix").select("key", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end"))
-    return copies, common.stored(ranges.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "repeat-ranges")
+    runs_ = common.stored(merged.mapInArrow(common.lean(merge), "a int, grp long, suffix long, lo long, hi long"), "repeat-runs")
+    # what holds for a suffix that stands for equal ones holds for each of them
+    stood = stand.select("a", "grp", "same", "suffix").join(runs_, ["a", "grp", "suffix"]).select("a", "grp", "same", "lo", "hi")
+    spread = hot.select("a", "grp", "same", "suffix").join(stood, ["a", "grp", "same"]).select("suffix", "lo", "hi")
+    found_runs = runs_.join(hot.select("a", "grp").distinct(), ["a", "grp"], "left_anti").select("suffix", "lo", "hi").unionAll(spread)
+    # and so it does for the other places of a suffix in its shard
+    ranges = shards.select("suffix", "key", "at").join(found_runs, "suffix").select("key", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end"))
+    marks = common.stored(ranges.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "repeat-ranges")
+    common.discard(seen, hits, shards, many, hot, runs_)
+    return copies, marks
 
 
 def blocks(batches):
-    """Tables of whole groups (no group is cut) over batches sorted by grp."""
+    """Tables of whole groups of one band (no group is cut) over batches sorted by a, b and grp."""
     held = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
+    for x in batches:
+        t = pa.Table.from_batches([x])
         t = pa.concat_tables([held, t]) if held is not None else t
-        g = t.column("grp").to_numpy()
-        cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
-        if cut:
-            yield t.slice(0, cut)
+        if not len(t):
+            continue
+        band, g = t.column("a").to_numpy().astype(np.int64) << 32 | t.column("b").to_numpy(), t.column("grp").to_numpy()
+        new = np.flatnonzero((band[1:] != band[:-1]) | (g[1:] != g[:-1])) + 1
+        bands_ = np.flatnonzero(band[1:] != band[:-1]) + 1
+        cut = int(new[-1]) if len(new) else 0
+        for lo, hi in zip([0, *bands_[bands_ < cut]], [*bands_[bands_ < cut], cut]):
+            if hi > lo:
+                yield t.slice(int(lo), int(hi - lo))
         held = t.slice(cut)
     if held is not None and len(held):
         yield held
@@ -263,7 +327,6 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     judged on the input. Null text is empty. Rows with equal texts remove each other whole if long enough; ids may be null or repeated. An empty table gives an
     empty result. All repeats are found: candidates are cut by no cap or sample.
     """
-    common.text_batches(docs.sparkSession)
     copies, marks = spans(docs, length)
     names = docs.columns
     j = docs.withColumn("sfx_key", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
@@ -273,7 +336,7 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def task(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        for b in common.slices(batches, "text"):
             n, gone, sp, kept, txt = [], [], [], [], []
             for x, copy, r in zip(b.column("text"), b.column("sfx_copy"), b.column("sfx_ranges")):
                 t = (x.as_py() or "").encode()
@@ -284,4 +347,4 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
                 kept.append(b"".join(left)), txt.append("".join(p.decode("utf-8", "ignore") for p in left))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sp, kind), pa.array(kept, pa.binary()), pa.array(txt, pa.string())], names=[*names, "sfx_n_bytes", "sfx_n_removed", "sfx_spans", "sfx_kept", "sfx_text"])
 
-    return j.select(*[F.col(f"`{c}`") for c in names], "sfx_copy", "sfx_ranges").mapInArrow(task, f"{fields}, sfx_n_bytes long, sfx_n_removed long, sfx_spans array<struct<start:long,end:long>>, sfx_kept binary, sfx_text string")
+    return j.select(*[F.col(f"`{c}`") for c in names], "sfx_copy", "sfx_ranges").mapInArrow(common.lean(task), f"{fields}, sfx_n_bytes long, sfx_n_removed long, sfx_spans array<struct<start:long,end:long>>, sfx_kept binary, sfx_text string")
