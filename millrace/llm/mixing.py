@@ -69,7 +69,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
         "mix_h": h, "mix_b1": F.substring(h, 1, 2), "mix_b2": F.substring(h, 3, 2),
     })
     narrow = common.stored(keyed.groupBy("mix_skey", "mix_b1", "mix_b2").agg(F.sum("mix_size").alias("size")), "bucket-sizes")
-    targets = source_targets(narrow.select(F.col("mix_skey").alias("skey"), "size"), weights, share, cap, slopes).withColumnRenamed("skey", "mix_skey")
+    targets = source_targets(narrow.select(F.col("mix_skey").alias("skey"), "size"), weights, share, cap, slopes)
+    targets = targets.select(F.col("skey").alias("mix_skey"), F.col("source_size").alias("mix_s"), F.col("target").alias("mix_t"), F.col("slope").alias("mix_a"))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     b1 = narrow.groupBy("mix_skey", "mix_b1").agg(F.sum("size").alias("size"))
     b1 = b1.select("mix_skey", "mix_b1", F.coalesce(F.sum("size").over(before("mix_skey", "mix_b1")), F.lit(0)).alias("at1"))
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     w = Window.partitionBy("mix_skey", "mix_b1", "mix_b2").orderBy("mix_h", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("mix_c", F.coalesce(F.sum("mix_size").over(w), F.lit(0))).join(offsets, ["mix_skey", "mix_b1", "mix_b2"])
     placed = placed.withColumn("mix_c", F.col("mix_c") + F.col("mix_at"))
-    size, s, t, c, a = (F.col(x) for x in ("mix_size", "source_size", "target", "mix_c", "slope"))
+    size, s, t, c, a = (F.col(x) for x in ("mix_size", "mix_s", "mix_t", "mix_c", "mix_a"))
     demand = F.floor(t + F.lit(0.5))
     passes = []
     for p in range(int(-(-cap // 1))):
@@ -93,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
         u = F.least((c + p * s).cast("double") / F.greatest(t, F.lit(1.0)), F.lit(1.0))
         b = F.lit(1.0) - a
         at.append(F.when(x.isNotNull(), F.when(a == 0.0, u).otherwise((F.sqrt(b * b + F.lit(4.0) * a * u) - b) / (F.lit(2.0) * a))))
-    out = placed.select(*[F.col(x) for x in docs.columns], size, s.alias("mix_source_size"), t.alias("mix_target"), taken.alias("mix_taken"), F.filter(F.array(*at), lambda x: x.isNotNull()).alias("mix_positions"))
+    out = placed.select(*[F.col(f"`{x}`") for x in docs.columns], size, s.alias("mix_source_size"), t.alias("mix_target"), taken.alias("mix_taken"), F.filter(F.array(*at), lambda x: x.isNotNull()).alias("mix_positions"))
     return out
 
 

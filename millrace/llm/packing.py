@@ -65,17 +65,19 @@ def trial(sizes: list[int], order: list[int], opened: dict[int, int], caps: list
     return placed, fill
 
 
-def best_fit(docs: DataFrame, size_col: str = "size", capacities: tuple[int, ...] = (512, 1024, 2048, 4096), costs: tuple[float, ...] | None = None, group_rows: int = 20_000) -> DataFrame:
+def best_fit(docs: DataFrame, size_col: str = "size", capacities: tuple[int, ...] = (512, 1024, 2048, 4096), costs: tuple[float, ...] | None = (576, 1088, 2112, 4160), group_rows: int = 20_000) -> DataFrame:
     """One row per piece of a document: doc_id, piece, piece_tokens, bin_id, bin_capacity, bin_offset.
 
+    costs: of a sequence of each length; by default its tokens and 64 more for being a sequence, so that few long ones compete with many that fit closely.
     A document longer than the largest length is cut into pieces of that length and a rest; one of size null or 0 takes a piece of 0 tokens.
-    Documents are dealt at random (by md5 of id and size) into groups of about group_rows, each packed by one task, so that a task's memory and the share of
+    Documents are dealt at random (by a hash of id, size and a draw) into groups of about group_rows, each packed by one task, so that a task's memory and the share of
     half-filled last bins stay the same at any scale. Null ids and repeated rows are packed like others; an empty table gives an empty result.
     """
     sized = common.stored(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size")), "pack-sizes")
     groups = max(1, -(-sized.count() // group_rows))
-    # the rows of one id are dealt apart by their size and, where that repeats too, by a random draw that is stored
-    g = common.stored(sized.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size", F.when(F.col("doc_id").isNull(), F.rand(7)).otherwise(F.lit(0.0))), F.lit(groups)).cast("int")), "pack-groups")
+    # a random draw, which is stored, deals apart the rows that repeat an id and size
+    g = common.stored(sized.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size", F.rand(7)), F.lit(groups)).cast("int")), "pack-groups")
+    common.discard(sized)
     top = max(capacities)
 
     def task(t: pa.Table) -> pa.Table:

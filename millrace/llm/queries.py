@@ -17,7 +17,9 @@ def op1_warc(spark, sf_dir):
     files = warc.archive_pages(table(spark, sf_dir, "pages"), folder)
     page = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
     r = warc.read(spark, files)
-    return r.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "block_ok", "payload_ok")
+    # a record that cannot be read ends the query: no page may be lost in silence
+    ok = F.when(F.col("error").isNull(), page("record_id")).otherwise(F.raise_error(F.concat_ws(" ", "file", "offset", "error")).cast("long"))
+    return r.select(ok.alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "block_ok", "payload_ok")
 
 
 def op2_language_id(spark, sf_dir):

@@ -96,3 +96,46 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
             left -= out[s]
         open_ -= over
     return out
+
+
+def best_fit_cost(sizes, capacities, costs):
+    """The least cost of best-fit decreasing over every way to choose the length that a bin is opened at by the smallest that holds its first piece."""
+    import itertools
+
+    cost, best = dict(zip(capacities, costs)), None
+    fits = lambda n: [c for c in capacities if c >= n]
+    for pick in itertools.product(*[fits(c) for c in capacities]):
+        opened, bins = dict(zip(capacities, pick)), []
+        for s in sorted(sizes, reverse=True):
+            open_ = [b for b in bins if b[0] - b[1] >= s]
+            if open_:
+                min(open_, key=lambda b: b[0] - b[1])[1] += s
+            else:
+                bins.append([opened[fits(s)[0]], s])
+        paid = sum(cost[fits(b[1])[0]] for b in bins)
+        best = paid if best is None else min(best, paid)
+    return best
+
+
+def license_scores(texts, templates, threshold=0.6):
+    """texts -> (name, score) of the best (name, template) pair over every line and the whole text, without any filter; (None, None) under the threshold."""
+    import math
+
+    tok = lambda t: [x for x in re.split("[^a-z0-9]+", (t or "").lower()) if x]
+    n, vocab = len(texts), {t for _, x in templates for t in tok(x)}
+    df = Counter(t for x in texts for t in set(tok(x)) & vocab)
+    other, weight = math.log(1 + n) + 1, {t: math.log((1 + n) / (1 + df[t])) + 1 for t in vocab}
+    vector = lambda ts: {t: k * weight[t] for t, k in Counter(ts).items() if t in vocab}
+    norm = lambda v, rest=0: math.sqrt(sum(x * x for x in v.values()) + rest * other * other)
+    tv = [vector(tok(x)) for _, x in templates]
+    out = []
+    for text in texts:
+        best = (0.0, 0)
+        for s in {*(text or "").split("\n"), text or ""}:
+            ts = tok(s)
+            v = vector(ts)
+            for i, t in enumerate(tv):
+                if v:
+                    best = max(best, (sum(x * t.get(w, 0) for w, x in v.items()) / (norm(v, sum(w not in vocab for w in ts)) * norm(t)), -i))
+        out.append((templates[-best[1]][0], best[0]) if best[0] >= threshold else (None, None))
+    return out

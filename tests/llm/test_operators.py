@@ -1,6 +1,7 @@
 """The operators against brute force on small fixtures with nulls, empties, ties, repeated rows and clashing column names."""
 
 import functools
+import hashlib
 import random
 
 import brute
@@ -80,12 +81,50 @@ def test_signature_tree_finds_all_pairs():
 
 
 def test_suffix_dedup(spark, docs):
-    got = {r.doc_id: (r.sfx_n_bytes, r.sfx_n_removed, len(r.sfx_spans), __import__("hashlib").sha256(bytes(r.sfx_kept)).hexdigest()) for r in suffix_dedup.dedup(docs).collect()}
+    got = {r.doc_id: (r.sfx_n_bytes, r.sfx_n_removed, len(r.sfx_spans), hashlib.sha256(bytes(r.sfx_kept)).hexdigest()) for r in suffix_dedup.dedup(docs).collect()}
     want = dict(zip([d for d, _ in corpus()], brute.suffix_dedup([t for _, t in corpus()], 400)))
     assert got == want
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_deals_out_hot_anchors(spark, monkeypatch):
+    """Anchors with over HOT suffixes, texts over a step, null and repeated ids give what brute force gives."""
+    rng = random.Random(11)
+    passage, long = prose(120, rng), " ".join(prose(300, rng) for _ in range(140))
+    texts = [prose(rng.randint(0, 60), rng) + " " + passage[rng.choice((0, 0, 50)) : rng.choice((None, None, 600))] + " " + prose(rng.randint(0, 60), rng) for _ in range(40)]
+    texts += [passage, passage, long[:5000] + long, long[200_000:] + passage, "", None, texts[0], texts[3]]
+    assert len(long) > suffix_dedup.STEP
+    rows = [(None if i % 9 == 4 else i if i % 9 != 5 else i - 1, t) for i, t in enumerate(texts)]
+    want = sorted(zip([d for d, _ in rows], brute.suffix_dedup(texts, 400)), key=repr)
+    for hot in (suffix_dedup.HOT, 3):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(((r.doc_id, (r.sfx_n_bytes, r.sfx_n_removed, len(r.sfx_spans), hashlib.sha256(bytes(r.sfx_kept)).hexdigest())) for r in got), key=repr) == want
+
+
+def test_merge_of_transforms():
+    """Repeats from interleaved shard lists, against counting every string; bands give the same as the whole range."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        length, gram = rng.choice((8, 12)), 3
+        reach, bank = length - gram, [bytes(rng.choices(b"ab", k=30)) for _ in range(3)]
+        rows = []
+        for _ in range(rng.randint(1, 14)):
+            x, g, p = bytearray(rng.choice(bank)), rng.randint(0, 2), rng.randint(0, 26)
+            if rng.random() < 0.6:
+                x[rng.randrange(30)] = ord("c")
+            rows.append((g, rng.randint(0, 2), bytes([65 + g]) * gram + bytes(x[p : p + rng.choice((0, 2, reach))]), bytes(x[max(0, p - reach) : p])))
+        rows.sort()  # by group and shard, each shard's in order
+        seen = {}
+        for i, (g, _, right, left) in enumerate(rows):
+            for o in range(max(0, length - len(right)), min(len(left), reach) + 1):
+                seen.setdefault((g, o, left[len(left) - o :], right[: length - o]), []).append((i, o))
+        want = {x for v in seen.values() if len(v) > 1 for x in v}
+        got = suffix_dedup.repeats(np.array([r[0] for r in rows]), [r[3] for r in rows], [r[2] for r in rows], np.zeros(len(rows), bool), length, 0, reach)
+        assert {(int(i), o) for i, lo, hi in zip(*got) for o in range(lo, hi + 1)} == want
+    assert [b for a, b in suffix_dedup.bands(300)][-1] == 300 and all(x[1] + 1 == y[0] for x, y in zip(suffix_dedup.bands(300), suffix_dedup.bands(300)[1:]))
+
+
 def test_mix(spark, docs):
     rows = mixing.mix(docs).collect()
     size = {}
@@ -102,6 +141,13 @@ def test_mix(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_keeps_clashing_columns(spark, docs):
+    own = docs.select("doc_id", "text", "source", *[F.col("doc_id").alias(c) for c in ("target", "slope", "source_size", "size", "part", "cap", "w", "level", "skey", "at1", "one.two")])
+    own = own.unionAll(own.where("doc_id is null or doc_id < 3")).unionAll(own.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = mixing.mix(own).collect()
+    assert len(rows) == own.count() and all(r.target == r.slope == r["one.two"] for r in rows)
+
+
 def test_quality_features(spark, docs):
     labels = spark.createDataFrame([(i,) for i in range(10)], "doc_id long")
     junk = spark.createDataFrame([(99, "\n".join(["a%% b$$ c d e f g h"] * 3)), (98, "x\ny\nx\n \n \n")], "doc_id long, text string")
@@ -154,6 +200,21 @@ def test_packing_fills_skewed_sizes():
         assert sum(sizes) / sum(bins.values()) > 0.9
 
 
+def test_packing_deals_repeated_rows_apart(spark):
+    d = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("size"))
+    got = packing.best_fit(d, group_rows=1000).withColumn("grp", F.substring_index("bin_id", "-", 1)).groupBy("grp").count().collect()
+    assert len(got) == 4 and all(800 < r["count"] < 1200 for r in got)
+
+
+def test_packing_is_least_of_all_openings():
+    rng = random.Random(8)
+    for costs in ((4.0, 8.0, 16.0), (6.0, 10.0, 18.0), (9.0, 10.0, 11.0)):
+        sizes = [rng.randint(1, 16) for _ in range(12)]
+        placed = packing.pack(sizes, (4, 8, 16), costs)
+        paid = sum(dict(zip((4, 8, 16), costs))[c] for c in {b: c for b, c, _ in placed}.values())
+        assert paid <= brute.best_fit_cost(sizes, (4, 8, 16), costs) + 1e-9
+
+
 def test_packing_query_keeps_every_token(spark):
     d = spark.createDataFrame([(1, 9000), (2, None), (None, 5), (3, 0), (3, 0)], "doc_id long, size long")
     got = packing.best_fit(d).collect()
@@ -189,6 +250,18 @@ def test_neighbours_against_brute(spark):
         assert len(own) == 20 and all(abs(r.score - s[q, r.vec_id]) < 1e-9 for r in own)
         hit += len(set(order) & {r.vec_id for r in own})
     assert hit / 600 >= 0.9
+    # fewer rows than asked for: every other one; repeated rows count once
+    few = v.where("vec_id < 8").unionAll(v.where("vec_id = 3"))
+    assert sorted(r.vec_id for r in ann.neighbours(few, F.col("vec_id") == 0).collect()) == list(range(1, 8))
+    # many equal vectors, in lists larger than a unit, with queries in slices, do not crowd out others
+    y = x.copy()
+    y[50:500] = y[0]
+    many = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(y)], "vec_id long, embedding array<float>")
+    got, s, hit = ann.neighbours(many, F.col("vec_id") % 20 == 0, keep=25, unit_rows=64, slice_rows=8).collect(), y.astype(float) @ y.astype(float).T, 0
+    for q in range(0, 600, 20):
+        order = [i for i in np.lexsort((np.arange(600), -s[q])) if i != q][:20]
+        hit += len(set(order) & {r.vec_id for r in got if r.query_id == q})
+    assert hit / 600 >= 0.9
     assert ann.neighbours(v.limit(0), F.lit(True)).count() == 0
 
 
@@ -223,9 +296,25 @@ def test_language_id_rejects_other_languages_and_junk(spark):
 
 
 def test_license_scan(spark):
-    rows = [(1, "some code\nReleased under the MIT License.\n", "a/b/x.txt"), (2, "Licensed under the Apache License, Version 2.0.", "a/LICENSE"), (3, "nothing here", "a/b/c/y.txt"), (4, "nothing", "z/q.txt"), (5, None, "a/n.txt"), (6, "the the under", None), (3, "nothing here", "a/b/c/y.txt")]
-    got = {r.doc_id: (r.lic_own, r.lic_license, r.lic_inherited_from) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
-    assert got == {1: ("MIT", "MIT", None), 2: ("Apache-2.0", "Apache-2.0", None), 3: (None, "MIT" if got[3][1] == "MIT" else "Apache-2.0", got[3][2]), 4: (None, None, None), 5: (None, "Apache-2.0", "a"), 6: (None, None, None)}
+    each = [(k, t) for k, ts in license_scan.TEMPLATES.items() for t in ts]
+    header = "\n".join("# " + x for x in ("Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software", "distributed under the License is distributed on an \"AS IS\" BASIS,", "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."))
+    mit = license_scan.TEMPLATES["MIT"][1]
+    rows = [
+        (1, "some code\nReleased under the MIT License.\n" + "word " * 40, "a/b/x.txt"), (2, "Licensed under the Apache License, Version 2.0.", "a/LICENSE"), (3, "nothing here", "a/b/c/y.txt"), (4, "nothing", "z/q.txt"), (5, None, "a/n.txt"),
+        (6, "the the under", None), (3, "nothing here", "a/b/c/y.txt"), (7, "Copyright (c) 2020 Example Corp. All rights reserved.\n" + "int main " * 60, "m/a.c"), (8, mit, "t/LICENSE"), (9, "x = 1", "t/deep/er/f.py"), (10, "", "t/e.txt"), (11, "plain", None),
+        (12, "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance\n" + "y = 2\n" * 30, "h/one.py"), (13, "MIT License\n\nCopyright (c) 2021 Some Body\n\n" + mit.replace(". ", ".\n"), "t2/COPYING"), (14, "q", "t2/x"), (15, "Redistribution and use in source and binary forms, with or without modification, are permitted.", "t/LICENSE.bsd"),
+    ]
+    df = spark.createDataFrame([(*r, 0, 1) for r in rows], "doc_id long, text string, path string, near int, `d.at` int")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert license_scan.scan(df).count() == len(rows) and license_scan.scan(df.limit(0)).count() == 0
+    for (i, *_), (name, score) in zip(rows, brute.license_scores([r[1] for r in rows], each)):
+        assert got[i].lic_own == name and (name is None or abs(got[i].lic_score - score) < 1e-8), i
+    assert {i: (r.lic_license, r.lic_inherited_from) for i, r in got.items() if r.lic_own is None} == {
+        3: ("Apache-2.0", "a"), 4: (None, None), 5: ("Apache-2.0", "a"), 6: (None, None), 9: (got[8].lic_license if got[8].lic_score >= got[15].lic_score else "BSD-3-Clause", "t"), 10: (got[9].lic_license, "t"), 11: (None, None), 14: ("MIT", "t2")}
+    assert got[7].lic_own == "proprietary" and got[8].lic_own == "MIT" and got[12].lic_own == "Apache-2.0" and not got[1].lic_is_file
+    # a header that only joined lines reach
+    wide = spark.createDataFrame([(1, "import os\n\n" + header + "\n\n" + "def f(x):\n    return x\n" * 40, "p/f.py")] + [(i, "the file is for use with a copy", f"p/{i}") for i in range(2, 9)], "doc_id long, text string, path string")
+    assert [r.lic_own for r in license_scan.scan(wide).where("doc_id = 1").collect()] == ["Apache-2.0"]
 
 
 def test_anchor_windows():
