@@ -16,10 +16,27 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, with x computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def chunks(tokens: Column, size: int) -> Column:
     """Consecutive runs of `size` tokens, joined by spaces."""
-    n = F.ceil(F.size(tokens) / F.lit(size)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(tokens, i * size + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+    def runs(ts):
+        n = F.ceil(F.size(ts) / F.lit(size)).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(ts, i * size + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, runs)
+
+
+def n_words(text: Column) -> Column:
+    return F.size(words(text))
+
+
+def basename(path: Column) -> Column:
+    """What follows the last slash."""
+    return F.element_at(F.split(path, "/"), -1)
 
 
 def length_bucket(n: Column) -> Column:
@@ -63,6 +80,19 @@ def prompt(query: Column, text: Column) -> Column:
     return F.concat(F.lit("Query: "), query, F.lit("\nDocument: "), text, F.lit("\nIs this document relevant to the query? Answer Yes or No:"))
 
 
+#: Fixed values of the option judge: its instruction, question and lead-in.
+SYSTEM = "You are an expert reasoning AI."
+OPTIONS = ("\nOptions:\nA) Yes, this document is highly relevant to the query.\nB) No, this document is completely irrelevant to the query.\n\n"
+           "Question: Is this document relevant to the query? You MUST choose A or B.")
+LEAD_IN = "\nTo answer, I will select the single best option letter. The correct option is ("
+
+
+def option_prompt(query: Column, text: Column, template: str = SYSTEM + "\n\nPLACEHOLDER\n") -> Column:
+    """The option judge's prompt around labelled chunks or a whole text; template: a chat template's text, the user's part marked PLACEHOLDER."""
+    before, _, after = (template + LEAD_IN).partition("PLACEHOLDER")
+    return F.concat(F.lit(before + "Query: "), query, F.lit("\n\nDocument:\n"), text, F.lit(OPTIONS + after))
+
+
 def coordinates(text: Column) -> Column:
     """Distinct (r, c) string pairs in order of appearance: those written Cell (r, c), or else the bare ones; none for null, empty, NAN or N/A."""
     def pairs(pattern):

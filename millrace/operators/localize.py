@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .pools import last_wins
 
 
 def alias(df: DataFrame, *names: str) -> list[str]:
@@ -22,9 +23,7 @@ def predictions(wide: DataFrame, ranks: int = 10) -> DataFrame:
     """query_id, ranked: coordinates in first-seen order over the rank columns; blanks let later ranks move up. A query_id's last row (column row_no, if any) counts."""
     cells = [first_of(wide, f"Rank_{i}_Cell_Coord", f"Rank_{i}", f"rank_{i}") for i in range(1, ranks + 1)]
     out = wide.select(first_of(wide, "query_id", "Query_ID", "id").alias("query_id"), F.array_distinct(F.flatten(F.array(*[X.coordinates(c) for c in cells]))).alias("ranked"), *alias(wide, "row_no"))
-    if "row_no" in out.columns:
-        out = out.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("row_no")))).where("rn = 1").drop("rn", "row_no")
-    return out
+    return last_wins(out, "query_id", "row_no").drop("row_no") if "row_no" in out.columns else out
 
 
 def ground_truth(wide: DataFrame, cells: int = 7) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,50 +10,77 @@ from ..functions import text as X
 MODES = ("naive", "firstp", "perchunk", "rows", "grid")
 
 
-def chunked(docs: DataFrame, size: int = 100) -> DataFrame:
-    """doc_id, idx, chunk, n: non-blank chunks in order; a document without any has its first 200 characters, or 'empty'."""
-    d = docs.select("doc_id", "text", X.chunks(X.words(F.col("text")), size).alias("cs"))
-    head = F.substring(F.coalesce("text", F.lit("")), 1, 200)
-    cs = F.when(F.size("cs") > 0, F.col("cs")).otherwise(F.array(F.when(head != "", head).otherwise(F.lit("empty"))))
-    return d.select("doc_id", cs.alias("cs")).select("doc_id", F.size("cs").alias("n"), F.posexplode("cs").alias("idx", "chunk"))
+def chunk_list(text: Column, words: Column, size: int) -> Column:
+    """The non-blank chunks of a text in order; without any its first 200 characters, or 'empty'."""
+    head = F.substring(F.coalesce(text, F.lit("")), 1, 200)
+    return X.bound(X.chunks(words, size), lambda cs: F.when(F.size(cs) > 0, cs).otherwise(F.array(F.when(head != "", head).otherwise(F.lit("empty")))))
+
+
+def chunked(docs: DataFrame, size: int = 100, tokens=X.words) -> DataFrame:
+    """doc_id, idx, chunk, n: the chunks of chunk_list. tokens: text -> array of tokens, white-space words by default."""
+    d = docs.select("doc_id", chunk_list(F.col("text"), tokens(F.col("text")), size).alias("cs"))
+    return d.select("doc_id", F.size("cs").alias("n"), F.posexplode("cs").alias("idx", "chunk"))
 
 
 def square(n):
     return F.ceil(F.sqrt(n)).cast("int")
 
 
-def axes(chunks: DataFrame, columns: bool = True, near_square: bool = False) -> DataFrame:
-    """Row (and column) probes by one explode and one shuffle. Cells stay virtual: row = idx div width, column = idx mod width."""
-    k = square(F.col("n"))
-    w = F.ceil(F.col("n") / k).cast("int") if near_square else k
-    row = F.struct(F.lit("r").alias("kind"), F.floor(F.col("idx") / w).cast("int").alias("axis"))
-    col = F.struct(F.lit("c").alias("kind"), (F.col("idx") % w).cast("int").alias("axis"))
-    a = chunks.withColumn("a", F.explode(F.array(row, col) if columns else F.array(row)))
-    a = a.groupBy("doc_id", "a.kind", "a.axis").agg(F.sort_array(F.collect_list(F.struct("idx", "chunk"))).alias("cs"))
-    return a.select("doc_id", "kind", "axis", F.transform("cs", lambda x: x["chunk"]).alias("cs"))
+def lines(cs: Column, near_square: bool = False) -> tuple[Column, Column]:
+    """The rows and the columns of the grid of a document's chunks, each an array of chunks. Cells stay virtual: row = idx div width, column = idx mod width."""
+    n = F.size(cs)
+    k = square(n)
+    w = F.ceil(n / k).cast("int") if near_square else k
+    rows = F.transform(F.sequence(F.lit(0), F.ceil(n / w).cast("int") - 1), lambda r: F.slice(cs, r * w + 1, w))
+    cols = F.transform(F.sequence(F.lit(0), F.least(w, n) - 1), lambda c: F.transform(F.sequence(c, n - 1, w), lambda i: F.get(cs, i)))
+    return rows, cols
+
+
+def axes(docs: DataFrame, size: int = 100, near_square: bool = False) -> DataFrame:
+    """doc_id, kind, axis, cs (chunks): row and column probes of each document, made where its text is read."""
+    def both(cs):
+        tagged = lambda xs, kind: F.transform(xs, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("axis"), x.alias("cs")))
+        rows, cols = lines(cs, near_square)
+        return F.concat(tagged(rows, "r"), tagged(cols, "c"))
+
+    d = docs.select("doc_id", X.bound(chunk_list(F.col("text"), X.words(F.col("text")), size), both).alias("a"))
+    return d.select("doc_id", F.inline("a"))
+
+
+def all_probes(docs: DataFrame, size: int = 100, modes: tuple[str, ...] = MODES, tokens=X.words) -> DataFrame:
+    """doc_id, mode, kind, axis, text, n_tokens: the probes of every mode from one pass over a text, without a shuffle. tokens: text -> array of tokens."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    one = lambda mode, kind, axis, t, n: F.struct(F.lit(mode).alias("mode"), F.lit(kind).alias("kind"), axis.cast("int").alias("axis"), t.alias("text"), n.cast("int").alias("n_tokens"))
+
+    def of_words(ws):
+        # joined chunks are split at single spaces; a text without words has only its head
+        count = lambda t: F.when(F.size(ws) > 0, F.size(F.split(t, " "))).otherwise(F.lit(0) if tokens is not X.words else X.n_words(t))
+
+        def of_chunks(cs):
+            axis = lambda mode, kind, xs: F.filter(F.transform(xs, lambda x, i: one(mode, kind, i, F.array_join(x, " "), count(F.array_join(x, " ")))), lambda p: F.trim(p["text"]) != "")
+            rows, cols = lines(cs)
+            plan = {
+                "naive": lambda: F.array(one("naive", "r", F.lit(0), text, F.size(ws))),
+                "firstp": lambda: F.array(one("firstp", "r", F.lit(0), F.get(cs, F.lit(0)), count(F.get(cs, F.lit(0))))),
+                "perchunk": lambda: F.transform(cs, lambda c, i: one("perchunk", "r", i, c, count(c))),
+                "rows": lambda: axis("rows", "r", rows),
+                "grid": lambda: F.concat(axis("grid", "r", rows), axis("grid", "c", cols)),
+            }
+            return F.concat(*[plan[m]() for m in modes])
 
+        return X.bound(chunk_list(text, ws, size), of_chunks)
 
-def probes(docs: DataFrame, mode: str, size: int = 100) -> DataFrame:
-    if mode == "naive":
-        out = docs.select("doc_id", F.lit("r").alias("kind"), F.lit(0).alias("axis"), F.coalesce("text", F.lit("")).alias("text"))
-    elif mode in ("firstp", "perchunk"):
-        c = chunked(docs, size)
-        out = (c.where("idx = 0") if mode == "firstp" else c).select("doc_id", F.lit("r").alias("kind"), F.col("idx").alias("axis"), F.col("chunk").alias("text"))
-    else:
-        out = axes(chunked(docs, size), mode == "grid").select("doc_id", "kind", "axis", F.array_join("cs", " ").alias("text"))
-    out = out.where(F.trim("text") != "") if mode in ("rows", "grid") else out
-    return out.select("doc_id", F.lit(mode).alias("mode"), "kind", "axis", "text", F.size(X.words(F.col("text"))).alias("n_tokens"))
+    # the first chunk needs no words beyond it
+    words = F.slice(F.filter(F.split(text, r"(?U)\s+", size + 2), lambda w: w != ""), 1, size) if tuple(modes) == ("firstp",) and tokens is X.words else tokens(text)
+    return docs.select("doc_id", X.bound(words, of_words).alias("p")).select("doc_id", F.inline("p"))
 
 
-def all_probes(docs: DataFrame, size: int = 100, modes: tuple[str, ...] = MODES) -> DataFrame:
-    out = probes(docs, modes[0], size)
-    for m in modes[1:]:
-        out = out.unionAll(probes(docs, m, size))
-    return out
+def probes(docs: DataFrame, mode: str, size: int = 100, tokens=X.words) -> DataFrame:
+    return all_probes(docs, size, (mode,), tokens)
 
 
 def labelled(docs: DataFrame, size: int = 100) -> DataFrame:
     """Near-square row and column probes whose chunks are numbered from 1 within the probe."""
-    a = axes(chunked(docs, size), True, True)
+    a = axes(docs, size, True)
     text = F.array_join(F.transform("cs", lambda x, i: F.concat(F.lit("[CHUNK "), (i + 1).cast("string"), F.lit("]: "), x, F.lit("\n\n"))), "")
     return a.select("doc_id", "kind", "axis", text.alias("text"))

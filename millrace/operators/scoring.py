@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -13,12 +13,14 @@ from ..functions import text as X
 def lexical(cand: DataFrame, queries: DataFrame, probes: DataFrame) -> DataFrame:
     """cand (item_id, doc_id) x probes with k, the distinct words a probe shares with the item, and score, its log odds (six decimals).
 
-    Probes are made once per document; words are compared only for candidate pairs.
+    Probes are made once per document; words are compared only for candidate pairs, and only those of probes that fit (column fits, if any); others have null k and score.
     """
     low = lambda c: F.array_distinct(X.words(F.lower(c)))
     q = queries.select("item_id", low(F.col("text")).alias("qw"))
     p = probes.withColumn("pw", low(F.col("text"))).drop("text")
-    j = cand.join(q, "item_id").join(p, "doc_id").withColumn("k", F.size(F.array_intersect("qw", "pw")))
+    fits = F.col("fits") if "fits" in probes.columns else F.lit(True)
+    p = p.withColumn("pw", F.when(fits, F.col("pw")))
+    j = cand.join(q, "item_id").join(p, "doc_id").withColumn("k", F.when(fits, F.size(F.array_intersect("qw", "pw"))))
     return j.withColumn("score", F.round(F.ln((F.col("k") + 0.5) / (F.size("qw") - F.col("k") + 0.5)), 6)).withColumn("n_query", F.size("qw")).drop("qw", "pw")
 
 
@@ -38,14 +40,14 @@ def judged(rows: DataFrame, judge: Callable[[list[str]], list[dict[str, float]]]
     return rows.mapInPandas(task, schema)
 
 
-def http_judge(server: str, timeout: float = 1800) -> Callable[[list[str]], list[dict[str, float]]]:
-    """A judge behind a completions endpoint; answers come back in the order of their index."""
+def http_judge(server: str, model: str, timeout: float = 1800) -> Callable[[list[str]], list[dict[str, float]]]:
+    """A judge behind a completions endpoint; answers come back in the order of their index, an answer without logprobs is an empty map."""
 
     def call(prompts: list[str]) -> list[dict[str, float]]:
         import json
         import urllib.request
 
-        body = json.dumps({"prompt": prompts, "max_tokens": 1, "logprobs": 20, "temperature": 1}).encode()
+        body = json.dumps({"model": model, "prompt": prompts, "max_tokens": 1, "logprobs": 20, "temperature": 1.0, "top_p": 1.0}).encode()
         req = urllib.request.Request(f"{server.rstrip('/')}/v1/completions", body, {"Content-Type": "application/json"})
         with urllib.request.urlopen(req, timeout=timeout) as r:
             choices = sorted(json.load(r)["choices"], key=lambda c: c["index"])
@@ -54,6 +56,90 @@ def http_judge(server: str, timeout: float = 1800) -> Callable[[list[str]], list
     return call
 
 
+#: The answers that a judge may give, in order of preference.
+VARIANTS = (("Yes", "No"), (" Yes", " No"), ("YES", "NO"), ("yes", "no"))
+
+
+def local_judge(load: Callable[[], Callable[[list[str]], list[dict[str, float]]]]) -> Callable[[list[str]], list[dict[str, float]]]:
+    """A judge in the worker's own process: load() makes it at its first batch and it is kept for the next ones."""
+    held: list = []
+
+    def call(prompts: list[str]) -> list[dict[str, float]]:
+        if not held:
+            held.append(load())
+        return held[0](prompts)
+
+    return call
+
+
+def skipping(judge: Callable, errors: tuple[type[BaseException], ...] = (MemoryError,)) -> Callable[[list[str]], list[dict[str, float] | None]]:
+    """The judge, but a prompt that runs out of memory has a null answer instead of ending the task; the rest of its batch is asked one by one."""
+
+    def call(prompts: list[str]) -> list[dict[str, float] | None]:
+        try:
+            return judge(prompts)
+        except errors:
+            return [None] if len(prompts) == 1 else [x for p in prompts for x in call([p])]
+
+    return call
+
+
+def calibrated(top: dict[str, float], variants: tuple[tuple[str, str], ...] = VARIANTS, valid: Callable[[str], bool] = lambda _: True) -> tuple[str, str]:
+    """The answer pair whose yes is likeliest in a probe's answers, the first of equals and the first of all if none is there. valid: whether a
+    variant is a single token of the model; those that are not are left out."""
+    have = [(top[y], -i) for i, (y, _) in enumerate(variants) if y in top and valid(y)]
+    return variants[-max(have)[1]] if have else variants[0]
+
+
+def option_probes(rows: DataFrame, judge: Callable, batch: int = 512) -> DataFrame:
+    """rows (prompt, n_tokens, ...) with probe struct<prob,latency,calc_tflops>: the option judge's P(A) against B, seconds of its batch per prompt, analytic cost.
+
+    A null answer (see skipping) makes the probe's fields null.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("top_logprobs", T.MapType(T.StringType(), T.DoubleType())), T.StructField("latency", T.DoubleType())])
+
+    def task(frames):
+        import time
+
+        for pdf in frames:
+            got, took = [], []
+            for i in range(0, len(pdf), batch):
+                part, t = pdf["prompt"].iloc[i : i + batch].tolist(), time.time()
+                got += judge(part)
+                took += [(time.time() - t) / len(part)] * len(part)
+            yield pdf.assign(top_logprobs=got, latency=took)
+
+    top, none = F.col("top_logprobs"), F.lit(None).cast("double")
+    at = lambda k: F.coalesce(F.try_element_at(top, F.lit(k)), F.lit(-1e9))
+    asked = lambda c: F.when(top.isNotNull(), c).otherwise(none)
+    probe = F.struct(asked(X.softmax_first(at("A"), at("B"))).alias("prob"), asked(F.col("latency")).alias("latency"), asked(X.forward_tflops(F.col("n_tokens"))).alias("calc_tflops"))
+    return rows.mapInPandas(task, schema).withColumn("probe", probe).drop("top_logprobs", "latency")
+
+
+def naive_guard(score: Column, n_tokens: Column, most: int | None = 32_000) -> Column:
+    """The score, or null for a text of over `most` tokens; no limit if that is null."""
+    return score if most is None else F.when(n_tokens <= most, score)
+
+
+def grid_costs(probes: DataFrame) -> DataFrame:
+    """(item_id, doc_id) with the sums of latency and cost over its probes (item_id, doc_id, latency, calc_tflops): null if any is."""
+    total = lambda c: F.when(F.count_if(F.col(c).isNull()) == 0, F.sum(c)).alias(c)
+    return probes.groupBy("item_id", "doc_id").agg(total("latency"), total("calc_tflops"))
+
+
+def query_costs(docs: DataFrame) -> DataFrame:
+    """item_id with naive_tflops, which leaves out nulls, and grid_tflops, which is null if any is."""
+    return docs.groupBy("item_id").agg(F.coalesce(F.sum("naive_tflops"), F.lit(0.0)).alias("naive_tflops"), F.when(F.count_if(F.col("grid_tflops").isNull()) == 0, F.sum("grid_tflops")).alias("grid_tflops"))
+
+
+def prompt_overhead(queries: DataFrame, tokens=X.words) -> int:
+    """The median number of tokens of the prompt around an empty document, cut to an integer."""
+    n = queries.agg(F.percentile(F.size(tokens(X.prompt(F.col("text"), F.lit("")))), F.lit(0.5))).first()[0]
+    return int(n or 0)
+
+
 def within_budget(scored: DataFrame, budget: int, overhead: int = 0) -> DataFrame:
     return scored.withColumn("fits", F.col("n_tokens") + overhead <= budget)
 

@@ -32,8 +32,7 @@ def _pool(spark, d):
 def _scored(spark, d, modes=R.MODES):
     pool = _pool(spark, d)
     docs = _docs(spark, d).join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
-    s = S.lexical(pool.select("item_id", "doc_id"), tab(spark, d, "benchmark"), R.all_probes(docs, SIZE, modes))
-    return S.within_budget(s, BUDGET)
+    return S.lexical(pool.select("item_id", "doc_id"), tab(spark, d, "benchmark"), S.within_budget(R.all_probes(docs, SIZE, modes), BUDGET))
 
 
 def chunk_words(spark, d):
@@ -78,8 +77,9 @@ def pool_injected(spark, d):
 
 
 def pool_full(spark, d):
-    items, docs = tab(spark, d, "benchmark").select("item_id"), _docs(spark, d).select("doc_id")
-    return docs.crossJoin(F.broadcast(items)).groupBy("item_id").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    # every item has the same pool, which is never made: its size and last member are those of the corpus
+    n, last = _docs(spark, d).agg(F.count("*"), F.max("doc_id")).first()
+    return tab(spark, d, "benchmark").select("item_id", F.lit(n).cast("long").alias("n"), F.lit(last).cast("long").alias("last"))
 
 
 def pool_round_robin(spark, d):
@@ -115,7 +115,7 @@ def cell_topk_score(spark, d):
     # p of an axis is the number of words it shares with the item, so that products are whole
     pool = _pool(spark, d)
     docs = _docs(spark, d).join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
-    p = R.axes(R.chunked(docs, SIZE), True, True).select("doc_id", "kind", "axis", F.array_join("cs", " ").alias("text"))
+    p = R.axes(docs, SIZE, True).select("doc_id", "kind", "axis", F.array_join("cs", " ").alias("text"))
     s = S.lexical(pool.select("item_id", "doc_id"), tab(spark, d, "benchmark"), p)
     out = S.cells(R.chunked(docs, SIZE), s.select("item_id", "doc_id", "kind", "axis", F.col("k").cast("long").alias("p")))
     return out.select("item_id", "doc_id", "total", "cells", (F.col("total") / F.col("cells")).alias("score"))
@@ -196,9 +196,9 @@ _P = {
     "grid": "SELECT doc_id, 'grid', kind, axis, text, len(string_split(text, ' ')) FROM (SELECT doc_id, 'r' kind, idx // k axis, string_agg(chunk, ' ' ORDER BY idx) text FROM g GROUP BY ALL UNION ALL SELECT doc_id, 'c', idx % k, string_agg(chunk, ' ' ORDER BY idx) FROM g GROUP BY ALL)",
 }
 _GOLD = "gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND b.text <> '')"
-_POOL = f"""{_GOLD}, tot AS (SELECT count(*) total FROM documents), ring AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), doc_id) - 1 pos FROM documents),
-st AS (SELECT item_id, CAST('0x' || substr(md5('{SEED}:q:' || item_id), 1, 8) AS BIGINT) % total s, least(total, {2 * POOL + 8}) reach, total FROM benchmark, tot),
-cand AS (SELECT item_id, t.turn, r.doc_id FROM st, unnest(range(reach)) t(turn), ring r WHERE r.pos = (s + t.turn) % total AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.item_id = st.item_id AND g.doc_id = r.doc_id) AND r.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+_POOL = f"""{_GOLD}, free AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), tot AS (SELECT count(*) total FROM free), ring AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), doc_id) - 1 pos FROM free),
+st AS (SELECT item_id, CAST('0x' || substr(md5('{SEED}:q:' || item_id), 1, 8) AS BIGINT) % total s, total FROM benchmark, tot),
+cand AS (SELECT item_id, (r.pos - s + total) % total turn, r.doc_id FROM st, ring r WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.item_id = st.item_id AND g.doc_id = r.doc_id)),
 ng AS (SELECT item_id, count(*) n FROM gold GROUP BY 1),
 pool AS (SELECT item_id, doc_id, true is_gold FROM gold UNION ALL SELECT item_id, doc_id, false FROM (SELECT c0.item_id, doc_id, coalesce(n, 0) n, row_number() OVER (PARTITION BY c0.item_id ORDER BY turn, doc_id) rn FROM cand c0 LEFT JOIN ng USING (item_id)) WHERE rn + n <= {POOL})"""
 _LEX = r"""qw AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) qw FROM benchmark),
