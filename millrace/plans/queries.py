@@ -5,13 +5,19 @@ documents play the corpus, benchmark items the queries, containment of an item's
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..config import RankingRun
 from ..functions import text as X
 from ..operators import localize as L
 from ..operators import pools as P
 from ..operators import probes as R
 from ..operators import scoring as S
+from ..sources import sinks, store, tables
+from ..streaming import resume
 
 POOL, SEED, BUDGET, SIZE = 50, 42, 1500, 100
 
@@ -176,7 +182,204 @@ def judge_udf_roundtrip(spark, d):
     return got.select("doc_id", X.log_odds(F.col("top_logprobs"), "Yes", "No").alias("log_odds"))
 
 
+def chunk_counts(spark, d):
+    return R.chunked(_docs(spark, d), SIZE).groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("chunks"))
+
+
+def chunk_letters(spark, d):
+    # another tokenizer: runs of ASCII letters and digits
+    return R.chunked(_docs(spark, d), SIZE, lambda t: F.regexp_extract_all(t, F.lit("[A-Za-z0-9]+"), F.lit(0))).select("doc_id", "idx", "n", F.md5("chunk").alias("digest"))
+
+
+def _overhead(spark, d):
+    return S.prompt_overhead(tab(spark, d, "benchmark"))
+
+
+def prompt_overhead(spark, d):
+    return spark.range(1).select(F.lit(_overhead(spark, d)).alias("tokens"))
+
+
+def fit_rate(spark, d):
+    fits = X.n_words(F.col("text")) + _overhead(spark, d) <= BUDGET
+    return _docs(spark, d).agg(F.count("*").alias("docs"), F.count_if(fits).alias("fit"), F.round(100.0 * F.count_if(fits) / F.count("*"), 4).alias("fit_pct"))
+
+
+def _examples(spark, d):
+    """benchmark items with domains and id lists: a third has no long list, a third an empty one; some ids are not in the corpus, some repeat."""
+    i = F.col("item_id")
+    ids = lambda *xs: F.array(*[x.cast("string") for x in xs])
+    none = F.array().cast("array<string>")
+    long = F.when(i % 3 == 1, none).when(i % 3 == 2, ids(i * 7 % 199, i + 900000, i * 13 % 197, i * 7 % 199, i * 29 % 193))
+    return tab(spark, d, "benchmark").select("item_id", "text", F.get(F.array(*map(F.lit, DOMAINS)), (i % 4).cast("int")).alias("domain"), long.alias("gold_ids_long"), ids(i * 5 % 191, i * 11 % 181).alias("gold_ids"), F.when(i % 5 != 0, ids(i * 3 % 179, i * 17 % 173)).alias("excluded_ids"))
+
+
+def golds_by_key(spark, d):
+    return P.resolved(_examples(spark, d), _docs(spark, d))
+
+
+def golds_first_two(spark, d):
+    g = P.resolved(_examples(spark, d), _docs(spark, d), empty_falls_through=True, most=2)
+    return g.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("golds"), F.count("*").alias("n_gold")).where("n_gold > 0")
+
+
+def negatives_excluded(spark, d):
+    e = _examples(spark, d)
+    docs = _docs(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return P.injected(e, docs, P.resolved(e, docs, True, 2), POOL, SEED, own_excluded=P.barred(e))
+
+
+def head_queries(spark, d):
+    return P.head(tab(spark, d, "benchmark"), 10).select("item_id")
+
+
+def query_sample(spark, d):
+    return P.sampled(tab(spark, d, "benchmark"), 7, SEED).select("item_id")
+
+
+def corpus_last_wins(spark, d):
+    # of documents with an equal id modulo 50, the one that comes last
+    rows = _docs(spark, d).select((F.col("doc_id") % 50).cast("string").alias("id"), F.col("doc_id").alias("place"), F.md5("text").alias("digest"))
+    return P.last_wins(rows, "id", "place")
+
+
+def success_rate(spark, d):
+    s = S.reduce_axes(_scored(spark, d, ("naive", "firstp", "grid")))
+    return s.groupBy("mode").agg(F.count("*").alias("docs"), F.count_if("failed").alias("fails"), F.round(100 * (1 - F.count_if("failed") / F.greatest(F.count("*"), F.lit(1))), 4).alias("success_pct"))
+
+
+def cost_flops(spark, d):
+    s = S.reduce_axes(_scored(spark, d, ("naive", "grid")))
+    return s.groupBy("item_id", "mode").agg(F.sum("sent").alias("calls"), F.round(F.coalesce(F.sum("flops"), F.lit(0.0)) / F.lit(1e12), 4).alias("tflops"))
+
+
+def answer_token_choice(spark, d):
+    i = F.col("doc_id")
+    m = F.map_from_entries(F.filter(F.array(*[F.when(i % k != 0, F.struct(F.lit(v).alias("key"), (-(i % n) / F.lit(8.0)).alias("value"))) for v, k, n in (("Yes", 2, 9), (" Yes", 3, 7), ("YES", 5, 5), ("yes", 7, 11))]), lambda x: x.isNotNull()))
+    return _docs(spark, d).select("doc_id", F.coalesce(X.best_variant(m, [y for y, _ in S.VARIANTS]), F.lit("Yes")).alias("yes"))
+
+
+def softmax_ab(spark, d):
+    i = F.col("doc_id")
+    return _docs(spark, d).select("doc_id", F.round(X.softmax_first((i % 13) / F.lit(4.0), (i % 7) / F.lit(2.0)), 6).alias("p"))
+
+
+def option_prompts(spark, d):
+    p = R.labelled(_docs(spark, d), SIZE).where("kind = 'r'")
+    return p.select("doc_id", "axis", F.md5(X.option_prompt(F.lit("what is it"), F.col("text"))).alias("digest"))
+
+
+def _costs(spark, d):
+    """item_id, doc_id, words, tokens, naive and grid costs of the pool's documents; reading whole is left out over a cap, and a probe of over 900 words counts as one that ran out of memory."""
+    pool = _pool(spark, d).select("item_id", "doc_id")
+    docs = _docs(spark, d).join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
+    p = R.all_probes(docs, SIZE, ("naive", "grid")).withColumn("calc_tflops", F.when((F.col("mode") == "naive") | (F.col("n_tokens") <= 900), X.forward_tflops(F.col("n_tokens")))).withColumn("latency", F.col("n_tokens") / F.lit(1000.0))
+    naive = p.where("mode = 'naive'").select("doc_id", F.col("n_tokens").alias("tokens"), S.naive_guard(F.col("calc_tflops"), F.col("n_tokens"), BUDGET).alias("naive_tflops"), S.naive_guard(F.col("latency"), F.col("n_tokens"), BUDGET).alias("naive_lat"))
+    grid = S.grid_costs(p.where("mode = 'grid'").select(F.lit(0).alias("item_id"), "doc_id", "latency", "calc_tflops")).select("doc_id", F.col("latency").alias("grid_lat"), F.col("calc_tflops").alias("grid_tflops"))
+    return pool.join(naive.join(grid, "doc_id"), "doc_id")
+
+
+def naive_guard(spark, d):
+    c = _costs(spark, d).select("doc_id", "tokens", "naive_tflops", "naive_lat", "grid_tflops", "grid_lat").distinct()
+    return c.select("doc_id", "tokens", *[F.round(x, 6).alias(x) for x in ("naive_tflops", "naive_lat", "grid_tflops", "grid_lat")])
+
+
+def query_costs(spark, d):
+    q = S.query_costs(_costs(spark, d))
+    return q.select("item_id", F.round("naive_tflops", 4).alias("naive_tflops"), F.round("grid_tflops", 4).alias("grid_tflops"))
+
+
+def cost_panels(spark, d):
+    c = _costs(spark, d).withColumns({"words": F.floor(F.col("tokens") / 100) * 100, "tokens": F.floor(F.col("tokens") / 50) * 50, "naive_meas_tflops": F.lit(None).cast("double"), "grid_meas_tflops": F.lit(None).cast("double")})
+    return sinks.panels(c).select("x_name", "y_name", "x", F.round("naive", 5).alias("naive"), F.round("grid", 5).alias("grid"))
+
+
+def pool_chars(spark, d):
+    need = _pool(spark, d).select("doc_id").distinct()
+    return _docs(spark, d).join(need, "doc_id", "left_semi").agg(F.count("*").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def input_counts(spark, d):
+    preds, truth = _wide(spark, d)
+    return preds.agg(F.lit("predictions").alias("input"), F.count("*").alias("n")).unionAll(truth.agg(F.lit("ground_truth"), F.count("*")))
+
+
+def localization_last_wins(spark, d):
+    preds, truth = _wide(spark, d)
+    first = preds.withColumns({"row_no": F.col("query_id"), "Rank_1_Cell_Coord": F.lit("Cell (8, 8)")})
+    return L.metrics(L.ground_truth(truth), L.predictions(first.unionByName(preds.withColumn("row_no", F.col("query_id") + 10_000_000))))
+
+
+def metrics_by_domain(spark, d):
+    items = _examples(spark, d).select("domain", "item_id", "text")
+    docs = tab(spark, d, "documents").select(F.col("lang").alias("domain"), "doc_id", "text")
+    gold = P.golds(items, docs).join(items.select("item_id", F.col("domain").alias("of")), "item_id").join(docs.select("doc_id", "domain"), "doc_id").where("of = domain").select("item_id", "doc_id")
+    pool = P.injected(items, docs, gold, 20, SEED, by=("domain",))
+    need = docs.join(pool.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    s = S.lexical(pool.select("item_id", "doc_id"), items.select("item_id", "text"), S.within_budget(R.all_probes(need, SIZE, ("naive", "grid")), BUDGET))
+    q = S.query_metrics(S.ranked(S.reduce_axes(s).withColumn("score", F.round("score", 6)), gold)).join(items.select("item_id", "domain"), "item_id")
+    return S.metric_table(q, "domain")
+
+
+def shared(spark, name):
+    """A new folder in the place that all executors share; a temporary one only for a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+
+
+def _naive_scores(spark, d):
+    def score(queries):
+        pool, items = _pool(spark, d), tab(spark, d, "benchmark")
+        own = items.join(queries.select(F.col("item_id").cast("long").alias("item_id")), "item_id", "left_semi")
+        pool = pool.join(own.select("item_id"), "item_id", "left_semi")
+        docs = _docs(spark, d).join(pool.select("doc_id").distinct(), "doc_id", "left_semi")
+        return S.reduce_axes(S.lexical(pool.select("item_id", "doc_id"), own, S.within_budget(R.all_probes(docs, SIZE, ("naive",)), BUDGET)))
+
+    return score
+
+
+def store_resume(spark, d):
+    # a run that ends after a third of its queries, and one that goes on from what it stored
+    run = RankingRun(domain="biology", pool_size=POOL, modes=("naive",), max_model_len=BUDGET)
+    kept = store.Store(spark, shared(spark, "runs"), run.key("biology", "naive"))
+    queries, score = tab(spark, d, "benchmark").select("item_id"), _naive_scores(spark, d)
+    kept.append(queries.where("item_id % 3 = 0"), score)
+    store.resumed(kept, queries, score, lambda s: s.groupBy("mode").agg(F.count("*").alias("n")))
+    return kept.scores().select(F.col("item_id").cast("long").alias("item_id"), F.col("doc_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "failed")
+
+
+def stream_resume(spark, d):
+    # queries arrive in two lots, the second with some of the first; each call scores what is new
+    folder, mark = shared(spark, "arrivals"), shared(spark, "stream")
+    kept = store.Store(spark, shared(spark, "runs"), "stream")
+    queries, score = tab(spark, d, "benchmark").select("item_id"), _naive_scores(spark, d)
+    for lot in ("item_id % 2 = 0", "item_id % 3 <> 0"):
+        queries.where(lot).write.mode("append").parquet(folder)
+        resume.catch_up(spark, folder, "item_id long", kept, score, mark)
+    return kept.scores().groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+
+
+def csv_round_trip(spark, d):
+    return sinks.csv(localization_metrics(spark, d), shared(spark, "table"))
+
+
+def sheet_round_trip(spark, d):
+    # predictions and annotations as files, read again and evaluated
+    preds, truth = _wide(spark, d)
+    where = shared(spark, "sheets")
+    sinks.csv(preds.withColumn("query_id", F.col("query_id").cast("string")), f"{where}/predictions.csv")
+    sinks.csv(truth.withColumn("id", F.col("id").cast("string")), f"{where}/truth.csv")
+    return L.metrics(L.ground_truth(tables.sheet(spark, f"{where}/truth.csv")), L.predictions(tables.sheet(spark, f"{where}/predictions.csv")))
+
+
+DOMAINS = ("de", "en", "es", "fr")
+
 QUERIES = {
+    **{f.__name__: f for f in (chunk_counts, chunk_letters, prompt_overhead, fit_rate, golds_by_key, golds_first_two, negatives_excluded, head_queries, query_sample, corpus_last_wins, success_rate, cost_flops, answer_token_choice, softmax_ab, option_prompts,
+                               naive_guard, query_costs, cost_panels, pool_chars, input_counts, localization_last_wins, metrics_by_domain, store_resume, stream_resume, csv_round_trip, sheet_round_trip)},
     "chunk_words": chunk_words, "grid_geometry": grid_geometry, **{f"probes_{m}": _probe_query(m) for m in R.MODES}, "probes_grid_labeled": probes_grid_labeled,
     "length_buckets": length_buckets, "length_profile": length_profile, "gold_pairs": gold_pairs, "pool_full": pool_full, "pool_injected": pool_injected, "pool_round_robin": pool_round_robin,
     "budget_filter": budget_filter, "cost_scaling": cost_scaling, "logodds_cases": logodds_cases, **{f"score_{m}": _score_query(m) for m in R.MODES}, "cell_topk_score": cell_topk_score,
@@ -237,7 +440,54 @@ _LM = f"""{_LOC}, h AS (SELECT query_id, (20000 * len(list_intersect(ranked[1:le
  CASE WHEN list_contains(main, ranked[1]) THEN 10000 WHEN list_contains(main, ranked[2]) THEN 7500 WHEN list_contains(main, ranked[3]) THEN 5000 WHEN len(list_intersect(ranked[1:5], main)) > 0 THEN 3500 ELSE 0 END d FROM o),
 m AS (SELECT query_id, a/100.0::DOUBLE Top_N_Overlap_Percentage, b/100.0::DOUBLE Top3_Precision_Score, c/100.0::DOUBLE Rank_Weighted_Top3_Score, d/100.0::DOUBLE Priority_Cell_Target_Reward, ((a+b+c+d+2)//4)/100.0::DOUBLE Overall_Composite_Score FROM h)"""
 
+_EX = """ex AS (SELECT item_id, text, ['de','en','es','fr'][1 + item_id % 4] "domain", CASE item_id % 3 WHEN 1 THEN CAST([] AS VARCHAR[]) WHEN 2 THEN [CAST(x AS VARCHAR) FOR x IN [item_id*7%199, item_id+900000, item_id*13%197, item_id*7%199, item_id*29%193]] END gl,
+ [CAST(x AS VARCHAR) FOR x IN [item_id*5%191, item_id*11%181]] gs, CASE WHEN item_id % 5 <> 0 THEN [CAST(x AS VARCHAR) FOR x IN [item_id*3%179, item_id*17%173]] ELSE [] END xs FROM benchmark)"""
+_FIRST2 = f"""{_EX}, gg AS (SELECT item_id, g doc_id, min(i) pl FROM (SELECT item_id, unnest(l) g, generate_subscripts(l, 1) i FROM (SELECT item_id, CASE WHEN len(gl) > 0 THEN gl ELSE gs END l FROM ex)) WHERE g IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) GROUP BY 1, 2),
+ two AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pl) rn FROM gg) WHERE rn <= 2)"""
+_OVER = r"(SELECT CAST(floor(quantile_cont(n, 0.5)) AS INT) FROM (SELECT len(list_filter(string_split_regex('Query: ' || text || chr(10) || 'Document: ' || chr(10) || 'Is this document relevant to the query? Answer Yes or No:', '\s+'), lambda x: x <> '')) n FROM benchmark))"
+_COSTS = f"""WITH {_C}, {_POOL}, {_probes_cte(("naive", "grid"))}, f AS (SELECT *, (2*9e9::DOUBLE*n_tokens + 4*36*4096::DOUBLE*n_tokens*n_tokens)/1e12 fl, n_tokens/1000.0::DOUBLE lat FROM probes),
+ nv AS (SELECT doc_id, n_tokens tokens, CASE WHEN n_tokens <= {BUDGET} THEN fl END naive_tflops, CASE WHEN n_tokens <= {BUDGET} THEN lat END naive_lat FROM f WHERE mode = 'naive'),
+ gr AS (SELECT doc_id, sum(lat) grid_lat, CASE WHEN max(n_tokens) <= 900 THEN sum(fl) END grid_tflops FROM f WHERE mode = 'grid' GROUP BY 1), co AS (SELECT item_id, p.doc_id, tokens, naive_tflops, naive_lat, grid_lat, grid_tflops FROM pool p JOIN nv USING (doc_id) JOIN gr USING (doc_id))"""
+_DPOOL = f"""{_EX}, dd AS (SELECT lang "domain", doc_id, text FROM documents), gold AS (SELECT item_id, doc_id FROM ex JOIN dd ON ex."domain" = dd."domain" AND contains(dd.text, ex.text) AND ex.text <> ''),
+ ring AS (SELECT "domain", doc_id, row_number() OVER (PARTITION BY "domain" ORDER BY md5('{SEED}:' || doc_id), doc_id) - 1 pos, count(*) OVER (PARTITION BY "domain") total FROM dd),
+ cand AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY (pos - CAST('0x' || substr(md5('{SEED}:q:' || item_id), 1, 8) AS BIGINT) % total + total) % total) rn FROM ex JOIN ring r ON r."domain" = ex."domain" WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.item_id = ex.item_id AND g.doc_id = r.doc_id)),
+ pool AS (SELECT item_id, doc_id, true is_gold FROM gold UNION ALL SELECT item_id, doc_id, false FROM cand WHERE rn + (SELECT count(*) FROM gold g WHERE g.item_id = cand.item_id) <= 20)"""
+
 ORACLES = {
+    "chunk_counts": f"WITH {_W} SELECT doc_id, CAST(greatest(ceil(len(ws)/{SIZE}.0), 1) AS INT) n, CAST(greatest(ceil(len(ws)/{SIZE}.0), 1) AS BIGINT) chunks FROM w",
+    "chunk_letters": f"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') ws FROM documents) SELECT doc_id, CAST(i AS INT) idx, n, md5(array_to_string(ws[i*{SIZE}+1:(i+1)*{SIZE}], ' ')) digest FROM (SELECT doc_id, ws, CAST(ceil(len(ws)/{SIZE}.0) AS INT) n FROM w), unnest(range(n)) t(i)",
+    "prompt_overhead": f"SELECT {_OVER} tokens",
+    "fit_rate": f"WITH {_W} SELECT count(*) docs, count(*) FILTER (len(ws) + {_OVER} <= {BUDGET}) fit, round(100.0::DOUBLE * count(*) FILTER (len(ws) + {_OVER} <= {BUDGET}) / count(*), 4) fit_pct FROM w",
+    "golds_by_key": f"WITH {_EX} SELECT DISTINCT item_id, g doc_id FROM (SELECT item_id, unnest(coalesce(gl, gs)) g FROM ex) WHERE g IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)",
+    "golds_first_two": f"WITH {_FIRST2} SELECT item_id, string_agg(doc_id, ',' ORDER BY doc_id) golds, count(*) n_gold FROM two GROUP BY 1",
+    "negatives_excluded": f"""WITH {_FIRST2}, bar AS (SELECT item_id, unnest(list_distinct(list_concat(CASE WHEN len(gl) > 0 THEN gl ELSE gs END, xs))) doc_id FROM ex), ring AS (SELECT CAST(doc_id AS VARCHAR) doc_id, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), CAST(doc_id AS VARCHAR)) - 1 pos, count(*) OVER () total FROM documents),
+        cand AS (SELECT item_id, r.doc_id, row_number() OVER (PARTITION BY item_id ORDER BY (pos - CAST('0x' || substr(md5('{SEED}:q:' || item_id), 1, 8) AS BIGINT) % total + total) % total) rn FROM ex, ring r WHERE NOT EXISTS (SELECT 1 FROM bar b WHERE b.item_id = ex.item_id AND b.doc_id = r.doc_id))
+        SELECT item_id, doc_id, true is_gold FROM two UNION ALL SELECT item_id, doc_id, false FROM cand WHERE rn + (SELECT count(*) FROM two WHERE two.item_id = cand.item_id) <= {POOL}""",
+    "head_queries": "SELECT item_id FROM benchmark ORDER BY item_id LIMIT 10",
+    "query_sample": f"SELECT item_id FROM benchmark ORDER BY md5('{SEED}:' || item_id), item_id LIMIT 7",
+    "corpus_last_wins": "SELECT CAST(doc_id % 50 AS VARCHAR) id, max(doc_id) place, md5(max_by(text, doc_id)) digest FROM documents GROUP BY 1",
+    "success_rate": f"{_scores_cte(('naive', 'firstp', 'grid'))} SELECT mode, count(*) docs, count(*) FILTER (sent = 0 AND mode <> 'grid') fails, round(100 * (1 - count(*) FILTER (sent = 0 AND mode <> 'grid') / CAST(count(*) AS DOUBLE)), 4) success_pct FROM red GROUP BY 1",
+    "cost_flops": f"{_scores_cte(('naive', 'grid'))} SELECT item_id, mode, CAST(sum(sent) AS BIGINT) calls, round(sum(flops) / 1e12, 4) tflops FROM red GROUP BY 1, 2",
+    "answer_token_choice": """WITH m AS (SELECT doc_id, [CASE WHEN doc_id % 2 <> 0 THEN -(doc_id % 9)/8.0 END, CASE WHEN doc_id % 3 <> 0 THEN -(doc_id % 7)/8.0 END, CASE WHEN doc_id % 5 <> 0 THEN -(doc_id % 5)/8.0 END, CASE WHEN doc_id % 7 <> 0 THEN -(doc_id % 11)/8.0 END] l FROM documents)
+        SELECT doc_id, coalesce(['Yes', ' Yes', 'YES', 'yes'][list_position(l, list_max(l))], 'Yes') yes FROM m""",
+    "softmax_ab": "SELECT doc_id, round(1 / (1 + exp((doc_id % 7)/2.0::DOUBLE - (doc_id % 13)/4.0::DOUBLE)), 6) p FROM documents",
+    "option_prompts": f"""WITH {_C}, a AS (SELECT doc_id, idx // CAST(ceil(n / CAST(k AS DOUBLE)) AS INT) axis, idx, chunk FROM g), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, axis ORDER BY idx) p FROM a),
+        t AS (SELECT doc_id, axis, string_agg('[CHUNK ' || p || ']: ' || chunk || chr(10) || chr(10), '' ORDER BY idx) t FROM b GROUP BY 1, 2)
+        SELECT doc_id, axis, md5('You are an expert reasoning AI.' || chr(10) || chr(10) || 'Query: what is it' || chr(10) || chr(10) || 'Document:' || chr(10) || t || chr(10) || 'Options:' || chr(10) || 'A) Yes, this document is highly relevant to the query.' || chr(10) || 'B) No, this document is completely irrelevant to the query.' || chr(10) || chr(10)
+        || 'Question: Is this document relevant to the query? You MUST choose A or B.' || chr(10) || chr(10) || 'To answer, I will select the single best option letter. The correct option is (') digest FROM t""",
+    "naive_guard": f"{_COSTS} SELECT DISTINCT doc_id, tokens, round(naive_tflops, 6) naive_tflops, round(naive_lat, 6) naive_lat, round(grid_tflops, 6) grid_tflops, round(grid_lat, 6) grid_lat FROM co",
+    "query_costs": f"{_COSTS} SELECT item_id, round(coalesce(sum(naive_tflops), 0), 4) naive_tflops, round(CASE WHEN count(grid_tflops) = count(*) THEN sum(grid_tflops) END, 4) grid_tflops FROM co GROUP BY 1",
+    "cost_panels": f"""{_COSTS} SELECT x_name, y_name, x, round(avg(nv), 5) naive, round(avg(gv), 5) grid FROM (SELECT xn x_name, yn y_name, CAST(CASE xn WHEN 'words' THEN tokens // 100 * 100 ELSE tokens // 50 * 50 END AS DOUBLE) x, CASE yn WHEN 'lat' THEN naive_lat ELSE naive_tflops END nv, CASE yn WHEN 'lat' THEN grid_lat ELSE grid_tflops END gv
+        FROM co, (SELECT unnest(['tokens', 'words']) xn), (SELECT unnest(['lat', 'tflops']) yn)) GROUP BY 1, 2, 3""",
+    "pool_chars": f"WITH {_POOL} SELECT count(*) docs, CAST(sum(length(text)) AS BIGINT) chars FROM documents WHERE doc_id IN (SELECT doc_id FROM pool)",
+    "input_counts": "SELECT 'predictions' AS input, count(*) n FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT 'ground_truth', count(*) FROM documents",
+    "localization_last_wins": f"WITH {_LM} SELECT * FROM m",
+    "metrics_by_domain": f"""WITH {_C}, {_DPOOL}, {_probes_cte(("naive", "grid"))}, {_LEX}{_QM} SELECT "domain", mode, round(100 * (1 - sum(fails) / greatest(sum(n), 1)), 4) success_pct, round(sum(calls) / count(*), 4) calls, round(sum(flops) / 1e12 / count(*), 4) tflops,
+        round(avg(ndcg5) FILTER (n_gold > 0), 4) ndcg5, round(avg(recall5) FILTER (n_gold > 0), 4) recall5, round(avg(ndcg10) FILTER (n_gold > 0), 4) ndcg10, round(avg(recall10) FILTER (n_gold > 0), 4) recall10, round(avg(auc) FILTER (n_gold > 0), 4) auc FROM qq JOIN ex USING (item_id) GROUP BY 1, 2""",
+    "store_resume": f"{_scores_cte(('naive',))} SELECT item_id, doc_id, score, sent = 0 failed FROM red",
+    "stream_resume": f"{_scores_cte(('naive',))} SELECT item_id, count(*) n, max(score) best FROM red WHERE item_id % 2 = 0 OR item_id % 3 <> 0 GROUP BY 1",
+    "csv_round_trip": f"WITH {_LM} SELECT * FROM m",
+    "sheet_round_trip": f"WITH {_LM} SELECT * FROM m",
     "chunk_words": f"WITH {_C} SELECT doc_id, idx, n, md5(chunk) digest FROM g",
     "grid_geometry": f"WITH {_W}, g AS (SELECT doc_id, CAST(greatest(ceil(len(ws)/{SIZE}.0), 1) AS INT) n FROM w) SELECT doc_id, n, CAST(ceil(sqrt(n)) AS INT) k, CAST(ceil(n / ceil(sqrt(n))) AS INT) square_rows, CAST(ceil(sqrt(n)) AS INT) square_cols, CAST(ceil(sqrt(n)) AS INT) near_rows, CAST(ceil(n / ceil(sqrt(n))) AS INT) near_cols FROM g",
     **{f"probes_{m}": f"WITH {_C} {_named(m)}" for m in R.MODES},

@@ -1 +1 @@
-"""millrace.streaming"""
+"""Runs over queries that arrive."""
