@@ -161,13 +161,20 @@ def repeats(groups: np.ndarray, left: list[bytes], right: list[bytes], twice: np
     return row, lo, hi
 
 
-def bands(reach: int) -> list[tuple[int, int]]:
-    """Ranges of distances, each about four times as wide as the one before, that together make 0 to reach."""
-    out, a, b = [], 0, 0
-    while a <= reach:
-        out.append((a, min(b, reach)))
-        a, b = b + 1, 4 * b + 6
-    return out
+def halves(a, b):
+    """The two halves of a range of distances a to b; one of width 0 is its own half."""
+    mid = F.floor((a + b) / 2).cast("int")
+    return F.filter(F.array(F.struct(a.alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), b.alias("b"))), lambda x: x["a"] <= x["b"])
+
+
+def banded(rows: DataFrame, length: int) -> DataFrame:
+    """rows (a, b, grp, suffix, left, right, twice) for each half of their range a to b: strings that start at such a distance share a bytes before and length - b
+    after the anchor, which with grp make the half's grp. same: a hash of the b bytes before and the length - a after, all that the half looks at."""
+    last = lambda c, n: F.substring(c, F.greatest(F.octet_length(c) - n + 1, F.lit(1)), n)
+    r = rows.withColumn("h", F.explode(halves(F.col("a"), F.col("b")))).select("grp", "suffix", "left", "right", "twice", "h.a", "h.b")
+    r = r.where((F.octet_length("left") >= F.col("a")) & (F.octet_length("right") >= length - F.col("b")))
+    r = r.select("a", "b", F.xxhash64("grp", "a", "b", last(F.col("left"), F.col("a")), F.substring("right", F.lit(1), length - F.col("b"))).alias("grp"), "suffix", last(F.col("left"), F.col("b")).alias("left"), F.substring("right", F.lit(1), length - F.col("a")).alias("right"), "twice")
+    return r.withColumn("same", F.unhex(F.md5(F.concat(F.octet_length("left").cast("string").cast("binary"), F.lit(":").cast("binary"), "left", "right"))))
 
 
 def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
@@ -245,17 +252,20 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     many = common.stored(own.groupBy("grp").count().where(F.col("count") > HOT).select("grp"), "hot-anchors")
     hot_groups = common.checked_broadcast(many, 8)
     cool = own.join(hot_groups, "grp", "left_anti").select(F.lit(0).alias("a"), F.lit(reach).alias("b"), "grp", "suffix", "left", "right", "twice")
-    # a hot anchor is dealt out by what precedes and follows it: strings that start at a distance of a to b share a bytes before and length - b after the anchor.
-    # Suffixes with the same b bytes before and length - a after are one within such a band
-    near = F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in bands(reach)]))
-    hot = own.join(hot_groups, "grp", "left_semi").withColumn("band", near).select("grp", "suffix", "left", "right", "twice", "band.a", "band.b")
-    hot = hot.where((F.octet_length("left") >= F.col("a")) & (F.octet_length("right") >= length - F.col("b")))
-    last = lambda c, n: F.substring(c, F.greatest(F.octet_length(c) - n + 1, F.lit(1)), n)
-    hot = hot.select("a", "b", F.xxhash64("grp", "a", last(F.col("left"), F.col("a")), F.substring("right", F.lit(1), length - F.col("b"))).alias("grp"), "suffix", last(F.col("left"), F.col("b")).alias("left"), F.substring("right", F.lit(1), length - F.col("a")).alias("right"), "twice")
-    hot = hot.withColumn("same", F.unhex(F.md5(F.concat(F.octet_length("left").cast("string").cast("binary"), F.lit(":").cast("binary"), "left", "right"))))
-    hot = common.stored(hot, "hot-suffixes")
-    stand = hot.groupBy("a", "b", "grp", "same").agg(F.min("suffix").alias("suffix"), F.min("left").alias("left"), F.min("right").alias("right"), ((F.count("*") > 1) | F.max("twice")).alias("twice"))
-    merged = cool.unionAll(stand.select(cool.columns)).repartition(parts, "grp", "a").sortWithinPartitions("a", "b", "grp", "suffix")
+    # a hot anchor is dealt out by what precedes and follows it, for each half of the distances apart, and again for a half that stays hot. Suffixes that a half
+    # cannot tell apart are one there, so that a half of a single distance is never hot
+    hot, levels, work = own.join(hot_groups, "grp", "left_semi").withColumns({"a": F.lit(0), "b": F.lit(reach)}), [], []
+    while hot.limit(1).count():
+        level = common.stored(banded(hot, length), "hot-suffixes")
+        stand = level.groupBy("a", "b", "grp", "same").agg(F.min("suffix").alias("suffix"), F.min("left").alias("left"), F.min("right").alias("right"), ((F.count("*") > 1) | F.max("twice")).alias("twice"))
+        size = common.stored(level.groupBy("a", "b", "grp").agg(F.count_distinct("same").alias("n"), F.max("twice").alias("twice"), F.count("*").alias("c")).where("c > 1 or twice").select("a", "b", "grp", "n"), "hot-sizes")
+        work += [level, size]
+        levels.append((level.drop("left", "right"), stand.join(size.where(F.col("n") <= HOT), ["a", "b", "grp"], "left_semi")))
+        hot = level.join(size.where(F.col("n") > HOT), ["a", "b", "grp"], "left_semi").drop("same")
+    merged = cool
+    for _, stand in levels:
+        merged = merged.unionAll(stand.select(cool.columns))
+    merged = merged.repartition(parts, "grp", "a").sortWithinPartitions("a", "b", "grp", "suffix")
 
     def merge(batches):
         held, size, band = [], 0, None
@@ -264,7 +274,7 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
             t = pa.concat_tables(held)
             row, lo, hi = repeats(t.column("grp").to_numpy(), t.column("left").to_pylist(), t.column("right").to_pylist(), t.column("twice").to_numpy(), length, *band)
             rows = pa.array(row)
-            return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(rows) for c in ("a", "grp", "suffix")] + [pa.array(lo), pa.array(hi)], names=["a", "grp", "suffix", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(rows) for c in ("a", "b", "grp", "suffix")] + [pa.array(lo), pa.array(hi)], names=["a", "b", "grp", "suffix", "lo", "hi"])
 
         for t in blocks(batches):
             own = (t.column("a")[0].as_py(), t.column("b")[0].as_py())
@@ -277,15 +287,16 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
         if held:
             yield flush()
 
-    runs_ = common.stored(merged.mapInArrow(common.lean(merge), "a int, grp long, suffix long, lo long, hi long"), "repeat-runs")
+    runs_ = common.stored(merged.mapInArrow(common.lean(merge), "a int, b int, grp long, suffix long, lo long, hi long"), "repeat-runs")
     # what holds for a suffix that stands for equal ones holds for each of them
-    stood = stand.select("a", "grp", "same", "suffix").join(runs_, ["a", "grp", "suffix"]).select("a", "grp", "same", "lo", "hi")
-    spread = hot.select("a", "grp", "same", "suffix").join(stood, ["a", "grp", "same"]).select("suffix", "lo", "hi")
-    found_runs = runs_.join(hot.select("a", "grp").distinct(), ["a", "grp"], "left_anti").select("suffix", "lo", "hi").unionAll(spread)
+    found_runs = runs_.where(F.col("b") == reach).where("a = 0").select("suffix", "lo", "hi")
+    for level, _ in levels:
+        stood = level.join(runs_, ["a", "b", "grp", "suffix"]).select("a", "b", "grp", "same", "lo", "hi")
+        found_runs = found_runs.unionAll(level.join(stood, ["a", "b", "grp", "same"]).select("suffix", "lo", "hi"))
     # and so it does for the other places of a suffix in its shard
     ranges = shards.select("suffix", "key", "at").join(found_runs, "suffix").select("key", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end"))
     marks = common.stored(ranges.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "repeat-ranges")
-    common.discard(seen, hits, shards, many, hot, runs_)
+    common.discard(seen, hits, shards, many, runs_, *work)
     return copies, marks
 
 

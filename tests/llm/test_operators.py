@@ -103,7 +103,7 @@ def test_suffix_dedup_deals_out_hot_anchors(spark, monkeypatch):
 
 
 def test_merge_of_transforms():
-    """Repeats from interleaved shard lists, against counting every string; bands give the same as the whole range."""
+    """Repeats from interleaved shard lists, against counting every string."""
     for seed in range(60):
         rng = random.Random(seed)
         length, gram = rng.choice((8, 12)), 3
@@ -122,7 +122,6 @@ def test_merge_of_transforms():
         want = {x for v in seen.values() if len(v) > 1 for x in v}
         got = suffix_dedup.repeats(np.array([r[0] for r in rows]), [r[3] for r in rows], [r[2] for r in rows], np.zeros(len(rows), bool), length, 0, reach)
         assert {(int(i), o) for i, lo, hi in zip(*got) for o in range(lo, hi + 1)} == want
-    assert [b for a, b in suffix_dedup.bands(300)][-1] == 300 and all(x[1] + 1 == y[0] for x, y in zip(suffix_dedup.bands(300), suffix_dedup.bands(300)[1:]))
 
 
 def test_mix(spark, docs):
