@@ -1,6 +1,8 @@
 """The corpus pipeline: documents pass language ID, near-duplicate and repeated-passage removal and mixing, and are packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents. docs of the first stage is the documents table.
+Null and repeated doc_ids, null and empty texts, texts of any length, further columns of docs and empty tables are allowed in every stage. A null or empty text is
+rejected by the first stage; reached by others it is no near-duplicate, is dropped by the passage stage and takes no words of a mix. Ties go to the smaller doc_id, null last.
 """
 
 from __future__ import annotations
@@ -60,7 +62,8 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: The trained language model, set similarity and packing order have no SQL form; tests/llm compares the stages with brute-force versions.
+#: The trained language model, set similarity and packing order have no SQL form. tests/llm compares the near-duplicate and passage stages with brute-force versions
+#: and holds the others to what they keep, drop and fill.
 ORACLE_SQL = None
 
 
