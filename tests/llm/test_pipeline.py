@@ -1,5 +1,7 @@
 import random
+from collections import defaultdict
 
+import brute
 import corpus_pipeline as c
 
 
@@ -26,3 +28,30 @@ def test_one_row_of_repeated_rows_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in near.collect()), key=repr) == sorted([(7, a), (None, b), (3, e), (4, f), (4, "another text of one id"), (5, None)], key=repr)
     left = c.repeated_passages(spark, near, "").collect()
     assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted([(7, a), (None, b), (3, e), (4, f), (4, "another text of one id")], key=repr)
+
+
+def test_stages_against_brute_force(spark):
+    """Near duplicates and repeated passages of sf0.001, and of an empty table, against brute force; a mix keeps its targets and a packing every word."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("extra", c.F.lit(1))
+    rows = {r.doc_id: r for r in docs.collect()}
+    part = brute.jaccard_join([(i, r.text) for i, r in rows.items()], 5, 80)
+    near = c.common.stored(c.near_duplicates(spark, docs, sf), "near")
+    stay = sorted(i for i, (_, root) in part.items() if root == i)
+    assert sorted(r.doc_id for r in near.collect()) == stay
+    left = c.common.stored(c.repeated_passages(spark, near, sf), "left")
+    want = {i: n for i, (n, gone, *_) in zip(stay, brute.suffix_dedup([rows[i].text for i in stay], 400)) if gone == 0 and brute.WORD.search(rows[i].text or "")}
+    got = {r.doc_id: r.text for r in left.collect()}
+    assert {i for i in want if got.get(i) != rows[i].text} == set() and all(len(got[i].encode()) < len(rows[i].text.encode()) for i in set(got) - set(want))
+    size, taken = defaultdict(int), defaultdict(int)
+    for i, t in got.items():
+        size[rows[i].source] += len(brute.WORD.findall(t))
+    mixed = c.common.stored(c.mixture(spark, left, sf), "mixed")
+    for r in mixed.collect():
+        taken[r.source] += len(brute.WORD.findall(r.text))
+    longest = max(len(brute.WORD.findall(t)) for t in got.values())
+    assert all(abs(taken[s] - t) <= longest for s, t in brute.targets(size).items())
+    packed = c.packing_stage(spark, mixed, sf).collect()
+    assert sum(r.piece_tokens for r in packed) == sum(taken.values())
+    for _, stage in c.STAGES[1:]:
+        assert stage(spark, left.limit(0), sf).count() == 0
