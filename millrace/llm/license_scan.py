@@ -71,11 +71,11 @@ def cue_words(templates: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(cues)
 
 
-def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.6, file_share: float = 0.25) -> DataFrame:
-    """files (doc_id, path, text, ...) with lic_*: own (template's name or null), score, is_file, directory, license, inherited_from.
+def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.6, file_share: float = 0.25, keep_text: bool = False) -> DataFrame:
+    """files (doc_id, path, text, ...), text dropped unless kept, with lic_*: own (template's name or null), score, is_file, directory, license, inherited_from.
 
     Candidates are every line of the whole text, every block (a run of lines that hold a cue word each, blank ones aside) and the whole text; only those that hold
-    a cue word are looked at, the others cannot reach the threshold. A candidate's sparse vector has tf x idf for each word of the templates in it, and each other
+    a cue word are looked at, and only in texts whose words together allow the threshold for a template; the others cannot reach it. A candidate's sparse vector has tf x idf for each word of the templates in it, and each other
     word is a dimension of its own with the highest idf. The best template of the best candidate with a cosine of at least the threshold is
     the file's own licence (ties: the earliest template). A file is a licence file of its directory if its whole text reaches the threshold or its lines that do
     hold at least file_share of its words. A file without an own licence takes that of the nearest ancestor directory that has a licence file; of
@@ -92,8 +92,8 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
         norm = math.sqrt(sum(x * x for x in v.values()))
         vectors.append({t: x / norm for t, x in v.items()})
     cues = cue_words(vectors, threshold)
-    lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    vs, idfs = F.array(*[F.lit(x) for x in vocab]), lits(weight[t] for t in vocab)
+    lits = lambda xs: F.split(F.lit(",".join(repr(float(x)) for x in xs)), ",").cast("array<double>")  # noqa: E731  folded into one literal
+    vs, idfs = F.split(F.lit(",".join(vocab)), ","), lits(weight[t] for t in vocab)
     weights = [lits(v.get(t, 0.0) for t in vocab) for v in vectors]
 
     def sparse(ts):
@@ -111,13 +111,19 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
 
     cue = "(?i)(^|[^a-z0-9])(" + "|".join(cues) + ")([^a-z0-9]|$)"
     text = F.coalesce(F.col("text"), F.lit(""))
+    # a cosine is at most the norm of the template's weights on the words that the text has at all
+    held = F.transform(F.array_intersect(_tokens(text), vs), lambda t: F.array_position(vs, t).cast("int") - 1)
+    squares = [lits(v.get(t, 0.0) ** 2 for t in vocab) for v in vectors]
+    mass = lambda xs, m: F.aggregate(xs, F.lit(0.0), lambda u, i: u + F.get(m, i))
+    masses = lambda xs: F.greatest(*[mass(xs, m) for m in squares])
+    able = F.get(F.transform(F.array(held), masses), F.lit(0)) >= threshold * threshold * 0.999
     rows = F.split(text, "\n")
     lines = F.filter(rows, lambda l: l.rlike(cue))
     blocks = F.split(F.array_join(F.transform(rows, lambda l: F.when(l.rlike(cue) | (F.trim(l) == ""), l).otherwise(F.lit("\x00"))), "\n"), "\x00")
     blocks = F.filter(blocks, lambda b: F.trim(b).contains("\n") & b.rlike(cue))
     tagged = lambda xs, kind: F.transform(xs, lambda x: F.struct(x.alias("s"), F.lit(kind).alias("kind")))
     none = F.array().cast("array<struct<s:string,kind:int>>")
-    df = files.withColumn("lic_c", F.when(text.rlike(cue), F.concat(tagged(lines, 0), tagged(blocks, 1), tagged(F.array(text), 2))).otherwise(none))
+    df = files.withColumn("lic_c", F.when(text.rlike(cue) & able, F.concat(tagged(lines, 0), tagged(blocks, 1), tagged(F.array(text), 2))).otherwise(none))
     df = df.withColumn("lic_s", F.filter(F.transform("lic_c", scored), lambda x: x["best"]["score"] >= threshold))
     df = df.withColumn("lic_best", F.array_max(F.transform("lic_s", lambda x: x["best"])))
     lined = F.aggregate("lic_s", F.lit(0), lambda u, x: u + F.when(x["kind"] == 0, x["n"]).otherwise(F.lit(0)))
@@ -126,7 +132,8 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
         "lic_score": F.round("lic_best.score", 9),
         "lic_is_file": F.coalesce((F.size("lic_s") > 0) & (F.exists("lic_s", lambda x: x["kind"] == 2) | (lined >= file_share * F.size(_tokens(text)))), F.lit(False)),
         "lic_directory": F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")),
-    }).drop("lic_c", "lic_s", "lic_best")
+    }).drop("lic_c", "lic_s", "lic_best", *([] if keep_text else ["text"]))
+    df = common.stored(df, "licence-scores")  # read for the directories and for the result
     narrow = common.stored(df.select("path", "lic_own", "lic_score", "lic_is_file", "lic_directory").where("lic_directory is not null").groupBy("lic_directory").agg(
         F.min(F.when(F.col("lic_is_file"), F.struct((-F.col("lic_score")).alias("s"), F.col("path").alias("path"), F.col("lic_own").alias("own")))).alias("best")), "licence-directories")
     # distinct directories, not files, meet their ancestors: a row for each level of depth
@@ -140,4 +147,4 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
     width = near.agg(F.max(F.octet_length("lic_directory") + F.octet_length("lic_at") + F.octet_length("lic_of"))).first()[0] or 0
     out = df.join(common.checked_broadcast(near, width + 100), "lic_directory", "left")
     common.discard(narrow)
-    return out.select(*[F.col(f"`{x}`") for x in files.columns], "lic_own", "lic_score", "lic_is_file", "lic_directory", F.coalesce("lic_own", "lic_of").alias("lic_license"), F.when(F.col("lic_own").isNull(), F.col("lic_at")).alias("lic_inherited_from"))
+    return out.select(*[F.col(f"`{x}`") for x in files.columns if keep_text or x != "text"], "lic_own", "lic_score", "lic_is_file", "lic_directory", F.coalesce("lic_own", "lic_of").alias("lic_license"), F.when(F.col("lic_own").isNull(), F.col("lic_at")).alias("lic_inherited_from"))
