@@ -26,7 +26,7 @@ class RankingRun:
     gpu_mem: float = 0.90
     gen_batch: int = 512
     server: str = ""
-    outdir: str = "runs_bright"
+    outdir: str = "runs"
     overwrite: bool = False
     seed: int = 42
 
