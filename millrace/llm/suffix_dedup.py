@@ -177,6 +177,17 @@ def banded(rows: DataFrame, length: int) -> DataFrame:
     return r.withColumn("same", F.unhex(F.md5(F.concat(F.octet_length("left").cast("string").cast("binary"), F.lit(":").cast("binary"), "left", "right"))))
 
 
+def whole_runs(runs_: DataFrame) -> DataFrame:
+    """Runs of distances (suffix, lo, hi) with those that meet or overlap in a suffix made one: the parts of a run found in several halves. A suffix has at most
+    one run for each two distances."""
+    r = F.sort_array(F.collect_list(F.struct("lo", "hi")))
+    last = lambda xs: F.element_at(xs, -1)
+    grown = lambda xs, x: F.concat(F.slice(xs, 1, F.size(xs) - 1), F.array(F.struct(last(xs)["lo"].alias("lo"), F.greatest(last(xs)["hi"], x["hi"]).alias("hi"))))
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    one = F.aggregate(r, none, lambda xs, x: F.when((F.size(xs) > 0) & (F.get(xs, F.size(xs) - 1)["hi"] + 1 >= x["lo"]), grown(xs, x)).otherwise(F.concat(xs, F.array(x))))
+    return runs_.groupBy("suffix").agg(one.alias("r")).select("suffix", F.inline("r"))
+
+
 def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     """(copies, marks), stored. copies: the keys (MD5) of texts that several rows have, rep: the smallest doc_id among them. marks: for other texts' keys
     the byte ranges `ranges` (start, end) covered by a string of `length` bytes that also starts elsewhere."""
@@ -293,6 +304,8 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     for level, _ in levels:
         stood = level.join(runs_, ["a", "b", "grp", "suffix"]).select("a", "b", "grp", "same", "lo", "hi")
         found_runs = found_runs.unionAll(level.join(stood, ["a", "b", "grp", "same"]).select("suffix", "lo", "hi"))
+    if levels:
+        found_runs = whole_runs(found_runs)
     # and so it does for the other places of a suffix in its shard
     ranges = shards.select("suffix", "key", "at").join(found_runs, "suffix").select("key", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + length).alias("end"))
     marks = common.stored(ranges.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "repeat-ranges")
