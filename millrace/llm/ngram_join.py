@@ -27,6 +27,8 @@ STEP = 256 << 10
 KEPT = 1 << 19
 #: Members of one task's list; longer lists are dealt out as pairs of blocks.
 BLOCK = 4096
+#: Bits of a signature to a gram: in the first looks at a list, and in those where pairs that the bounds passed were no links.
+NARROW, WIDE = 2, 16
 
 
 def _powers(x: int, n: int) -> np.ndarray:
@@ -109,9 +111,9 @@ def sets(col: pa.Array, k: int):
                 yield at + i, x
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Bits of a set: a power of two of them, at least two to a member and 512 in all."""
-    width = 1 << max(9, int(2 * len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, per: int = NARROW) -> np.ndarray:
+    """Bits of a set: a power of two of them, at least `per` to a member and 512 in all."""
+    width = 1 << max(9, int(per * len(s) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(s >> np.uint64(8)) & np.uint64(width - 1)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -273,7 +275,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     smallest doc_id reachable. Rows of one doc_id are one document and share a component; a null doc_id has a null component. Repeated
     rows are returned as often as they occur; an empty table gives an empty result. No list, candidate or link is capped: a list of more than BLOCK
     members is dealt out as pairs of blocks. A traversal takes a pair that passes the bounds for joined, so that a large group of copies gives a spanning
-    tree and not all its pairs; lists in which such a pair fails verification are traversed again for all pairs not joined by then.
+    tree and not all its pairs; lists in which such a pair fails verification are traversed again with wide signatures, which hardly pass a pair that is no link,
+    and those in which one fails even so a last time, for all pairs not joined by then.
     """
     spark = docs.sparkSession
     parts = common.task_count(spark)
@@ -309,19 +312,25 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, size)[np.repeat(keep, size)]), pa.array(x[1][np.repeat(keep, size)])], names=["list", "node"])
 
     member = common.stored(grams.mapInArrow(common.lean(lists), "list long, node long").distinct(), "gram-lists")
-    work += [member, common.stored(member.select("node").distinct(), "gram-nodes")]
-    nodes = common.checked_broadcast(work[-1], 16)
-
-    def signatures(batches):
-        for b in batches:
-            rows, ns, maps = [], [], []
-            for i, s in sets(b.column("text"), k):
-                rows.append(i), ns.append(len(s)), maps.append(bitmap(s).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(ns, pa.int64()), pa.array(maps, pa.binary())], names=["node", "n", "bits"])
-
-    held = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").mapInArrow(common.lean(signatures), "node long, n long, bits binary")
-    held = common.stored(held, "gram-signatures")
-    work.append(held)
+    work.append(member)
+
+    def signed(members: DataFrame, per: int) -> DataFrame:
+        """node, n and bits of the members, with `per` bits to a gram."""
+
+        def signatures(batches):
+            for b in batches:
+                rows, ns, maps = [], [], []
+                for i, s in sets(b.column("text"), k):
+                    rows.append(i), ns.append(len(s)), maps.append(bitmap(s, per).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(ns, pa.int64()), pa.array(maps, pa.binary())], names=["node", "n", "bits"])
+
+        found = common.stored(members.select("node").distinct(), "gram-nodes")
+        nodes = common.checked_broadcast(found, 16)
+        held = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").mapInArrow(common.lean(signatures), "node long, n long, bits binary")
+        held = common.stored(held, "gram-signatures")
+        common.discard(found)
+        work.append(held)
+        return held
 
     def traverse(spanning: bool):
         def task(batches):
@@ -351,7 +360,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
                     ok[i] = 100 * n >= percent * (len(x) + len(y) - n)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok)], names=["a", "b", "ok"])
 
-    def verified(members: DataFrame, spanning: bool) -> tuple[DataFrame, DataFrame]:
+    def verified(members: DataFrame, held: DataFrame, spanning: bool) -> tuple[DataFrame, DataFrame]:
         """(of, a, b) of the pairs that pass the bounds, and (a, b, ok) by their exact sets. members: list, node, root. of: the list as members name it."""
         members = members.withColumn("of", F.col("list"))
         size = members.groupBy("list").count().where(F.col("count") > BLOCK)
@@ -385,14 +394,20 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # each node in the longest of its lists first: most copies are joined there, and lists that are joined need no second look
     size = member.groupBy("list").agg(F.count("*").alias("c"))
     longest = member.join(size, "list").groupBy("node").agg(F.max_by("list", F.struct("c", "list")).alias("list"))
-    _, ok = verified(longest.select("list", "node", F.col("node").alias("root")), True)
+    narrow = signed(member, NARROW)
+    _, ok = verified(longest.select("list", "node", F.col("node").alias("root")), narrow, True)
     links = ok.where("ok").select("a", "b")
-    pairs, ok = verified(rooted(member, links), True)
+    pairs, ok = verified(rooted(member, links), narrow, True)
     links = links.union(ok.where("ok").select("a", "b"))
-    failed = common.stored(pairs.join(ok.where("not ok"), ["a", "b"], "left_semi").select(F.col("of").alias("list")).distinct(), "gram-failed")
-    work.append(failed)
-    if failed.limit(1).count():
-        _, ok = verified(rooted(member.join(failed, "list", "left_semi"), links), False)
+    wide = None
+    for spanning in (True, False):
+        failed = common.stored(pairs.join(ok.where("not ok"), ["a", "b"], "left_semi").select(F.col("of").alias("list")).distinct(), "gram-failed")
+        work.append(failed)
+        if not failed.limit(1).count():
+            break
+        again = rooted(member.join(failed, "list", "left_semi"), links)
+        wide = signed(again, WIDE) if wide is None else wide
+        pairs, ok = verified(again, wide, spanning)
         links = links.union(ok.where("ok").select("a", "b"))
     root = components(links).toDF("rep", "root")
     root = common.checked_broadcast(common.stored(root, "gram-roots"), 32)
