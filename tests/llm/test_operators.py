@@ -326,3 +326,27 @@ def test_anchor_windows():
 def test_string_chunks_cover_all_rows():
     col = pa.array(["a" * 5, None, "", "b" * 3])
     assert [(at, bounds.tolist()) for at, bounds, _ in language_id.chunks(col)] == [(0, [0, 5, 5, 5, 8])]
+
+
+def test_part_keys_are_shared_by_all_links():
+    """Sets that link share a part's key, also where many parts are empty; passages that many sets share make no candidates of them."""
+    rng = np.random.default_rng(5)
+    for p in (50, 80, 85):
+        for n in (5, 6, 7, 13, 40, 300):
+            for _ in range(60):
+                base = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
+                a = np.unique(base[:n])
+                lost, more = rng.integers(0, n // 3 + 1, 2)
+                b = np.unique(np.concatenate([a[: len(a) - lost], base[n : n + more]]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= p * (len(a) + len(b) - both) and not np.array_equal(a, b):
+                    assert len(np.intersect1d(ngram_join.part_keys(a, p), ngram_join.part_keys(b, p)))
+    # hashes crowded in one sixteenth of their range: nearly all parts are empty
+    for n in (40, 300):
+        a = rng.integers(0, 1 << 60, n, dtype=np.uint64)
+        b = np.unique(np.concatenate([a[n // 14 :], rng.integers(0, 1 << 60, 2, dtype=np.uint64)]))
+        assert len(np.intersect1d(ngram_join.part_keys(np.unique(a), 85), ngram_join.part_keys(b, 85)))
+    passage = rng.integers(0, 1 << 63, 90, dtype=np.uint64) * np.uint64(2)
+    keys = [ngram_join.part_keys(np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, 210, dtype=np.uint64) * np.uint64(2)])), 85) for _ in range(60)]
+    met = sum(len(np.intersect1d(keys[i], keys[j])) > 0 for i in range(60) for j in range(i))
+    assert met < 0.3 * 60 * 59 / 2
