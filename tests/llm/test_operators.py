@@ -350,3 +350,16 @@ def test_part_keys_are_shared_by_all_links():
     keys = [ngram_join.part_keys(np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, 210, dtype=np.uint64) * np.uint64(2)])), 85) for _ in range(60)]
     met = sum(len(np.intersect1d(keys[i], keys[j])) > 0 for i in range(60) for j in range(i))
     assert met < 0.3 * 60 * 59 / 2
+
+
+def test_part_keys_of_unlike_sets_differ():
+    """Sets without a gram in common share no key, whatever their sizes, though parts of them are empty; sets that just link share one at each size of a class."""
+    rng = np.random.default_rng(6)
+    some = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    keys = np.concatenate([ngram_join.part_keys(np.unique(some(n)), 80) for n in range(150, 450)])
+    assert len(np.unique(keys)) == len(keys)
+    for n in [x + y for x in ngram_join.CLASSES if 10 < x < 2000 for y in (-1, 0, 1, 2)]:
+        a = np.unique(some(n))
+        b = np.unique(np.concatenate([rng.choice(a, n - n // 9, False), some(n // 9)]))
+        assert 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        assert len(np.intersect1d(ngram_join.part_keys(a, 80), ngram_join.part_keys(b, 80)))
