@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import random
+import re
 
 import brute
 import numpy as np
@@ -66,6 +67,40 @@ def test_jaccard_join_repeats_long_lists(spark, monkeypatch):
     assert got == brute.jaccard_join(rows, 4, 85) and {c for _, c in got.values()} == {0}
 
 
+def test_jaccard_join_reads_lists_once(spark, monkeypatch):
+    """A look at lists joins their members with the failed lists and with the open ones, once each, however often the members are read then."""
+    rng = random.Random(12)
+    rows = []
+    for d in range(60):
+        w = [f"base{i}" for i in range(300)]
+        for e in range(rng.randint(1, 7)):
+            w[rng.randint(0, 299)] = f"edit{d}x{e}"
+        rows.append((d, " ".join(w)))
+    held, stored = [], ngram_join.common.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "gram-rooted":
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join.common, "stored", counted)
+    seen = spark._jsparkSession.sharedState().statusStore()
+    first = seen.executionsCount()
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute.jaccard_join(rows, 4, 85)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    made, ran = 0, seen.executionsList()
+    for i in range(first, ran.size()):
+        run = ran.apply(i).executionId()
+        values, nodes = seen.executionMetrics(run), seen.planGraph(run).allNodes()
+        for x in (nodes.apply(j) for j in range(nodes.size())):
+            if re.search(r"Join \[list#\d+L?\], \[list#\d+L?\], LeftSemi", x.desc()):
+                metrics = (x.metrics().apply(j) for j in range(x.metrics().size()))
+                made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    assert held and 0 < made <= 2 * sum(held)
+
+
 def test_signature_tree_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
