@@ -36,14 +36,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return d.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 bytes that also start elsewhere go, with the parts of characters that a cut leaves; documents without a word left go."""
-    d = suffix_dedup.dedup(docs.select(*COLUMNS))
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:
+    """Bytes in strings of 400 bytes, and with `words` in runs of so many words, that also start elsewhere go, with the parts of characters that a cut leaves; documents
+    without a word left go."""
+    d = suffix_dedup.dedup(docs.select(*COLUMNS), words=words)
     text = F.when(F.col("sfx_n_removed") > 0, F.col("sfx_text")).otherwise(F.col("text"))
     out = d.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
     return out.where(F.col("text").rlike(common.WORD))
 
 
+def repeated_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """repeated_passages, with passages of over 50 words that have less than 400 bytes."""
+    return repeated_passages(spark, docs, sf_dir, 51)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mix reads them, in the order of the curriculum."""
     return mixing.by_position(mixing.mix(docs.select(*COLUMNS), whole=True)).select(*COLUMNS)
@@ -57,7 +63,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("language_id", language),
     ("ngram_jaccard_join", near_duplicates),
-    ("suffix_array_dedup", repeated_passages),
+    ("suffix_array_dedup", repeated_words),
     ("mixing", mixture),
     ("best_fit_packing", packing_stage),
 ]

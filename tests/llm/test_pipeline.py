@@ -55,3 +55,29 @@ def test_stages_against_brute_force(spark):
     assert sum(r.piece_tokens for r in packed) == sum(taken.values())
     for _, stage in c.STAGES[1:]:
         assert stage(spark, left.limit(0), sf).count() == 0
+
+
+def test_passages_of_over_50_words_go(spark):
+    """Passages of 51 words that several documents share go whatever their bytes, spaces and case, and those of 50 words and under 400 bytes stay; sf0.001 against brute force."""
+    rng = random.Random(8)
+    some = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    p, q, r = some(51), some(50), some(51)
+    rows = [(1, f"{some(70)} {p} {some(30)}"), (2, f"{some(20)}\n{p.replace(' ', '  ').upper()}\n{some(9)}"), (3, f"{q} {some(60)}"), (4, f"{some(60)} {q}"), (5, r), (6, f"é {r} {some(3)}"), (7, None), (None, some(200))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(c.STAGES)["suffix_array_dedup"]
+    got = {x.doc_id: brute.WORD.findall(x.text) for x in stage(spark, docs, "").collect()}
+    want = {d: brute.WORD.findall(t or "") for d, t in rows}
+    want[1] = want[1][:70] + want[1][121:]
+    want[2] = want[2][:20] + want[2][71:]
+    want[6] = want[6][:1] + want[6][52:]
+    assert got == {d: w for d, w in want.items() if w and d != 5}
+
+    near = c.common.stored(c.near_duplicates(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), ""), "near")
+    texts = {x.doc_id: x.text for x in near.collect()}
+    first = brute.suffix_dedup(list(texts.values()), 400)
+    runs = {d: [tuple(w[i : i + 51]) for i in range(len(w) - 50)] for d, w in ((d, brute.WORD.findall(brute.lower(t or ""))) for d, t in texts.items())}
+    count = brute.Counter(x for v in runs.values() for x in v)
+    changed = {d for (d, v), x in zip(runs.items(), first) if x[1] or any(count[y] > 1 for y in v)}
+    assert len(changed) > sum(x[1] > 0 for x in first)
+    left = {x.doc_id: x.text for x in stage(spark, near, "").collect()}
+    assert all((left.get(d) != t) == (d in changed) for d, t in texts.items() if brute.WORD.search(t or ""))
