@@ -81,3 +81,40 @@ def test_passages_of_over_50_words_go(spark):
     assert len(changed) > sum(x[1] > 0 for x in first)
     left = {x.doc_id: x.text for x in stage(spark, near, "").collect()}
     assert all((left.get(d) != t) == (d in changed) for d, t in texts.items() if brute.WORD.search(t or ""))
+
+
+def test_stages_leave_little_on_disk(spark):
+    """What is written to the shared folder while a stage runs is deleted but for what its result reads, and the shuffle files of stored frames go with them."""
+    import os
+    import time
+
+    sf = "/root/testdata/sf0.001"
+    root = c.common.shared_dir(spark).removeprefix("file://") + "/millrace"
+    at = lambda: {x.rsplit("-", 1)[0]: x for x in set(os.listdir(root)) - before}
+    c.common.stored(spark.range(3), "first")
+    before = set(os.listdir(root))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    c.near_duplicates(spark, docs, sf)
+    assert "gram-features" not in at() and "numbered" in at()
+    before = set(os.listdir(root))
+    dict(c.STAGES)["suffix_array_dedup"](spark, docs, sf)
+    assert set(at()) == {"text-marks"}
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    old = files()
+    out = c.common.stored(spark.range(1000).groupBy((c.F.col("id") % 7).alias("k")).count().repartition(3, "k"), "shuffled")
+    until = time.time() + 20
+    while files() - old and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - old and out.count() == 7
+    assert spark.conf.get(c.common.SHUFFLES_GO, None) is None
+
+
+def test_rows_that_perhaps_meet_a_key(spark):
+    """No row with one of the keys is passed over, and few others are not, with one bitmap and with several, and with no keys."""
+    rows = spark.range(60_000).select(c.F.unhex(c.F.md5(c.F.col("id").cast("string"))).alias("key"), "id")
+    for n in (0, 500, 20_000):
+        keys = c.common.stored(rows.where(c.F.col("id") < n).select("key"), "keys")
+        got = {r.id: r.held for r in c.common.perhaps(rows, keys, "held").select("id", "held").collect()}
+        assert len(got) == 60_000 and all(got[i] for i in range(n)) and sum(got.values()) - n < 0.15 * (60_000 - n)
