@@ -47,8 +47,11 @@ def axes(docs: DataFrame, size: int = 100, near_square: bool = False) -> DataFra
     return d.select("doc_id", F.inline("a"))
 
 
-def all_probes(docs: DataFrame, size: int = 100, modes: tuple[str, ...] = MODES, tokens=X.words) -> DataFrame:
-    """doc_id, mode, kind, axis, text, n_tokens: the probes of every mode from one pass over a text, without a shuffle. tokens: text -> array of tokens."""
+def all_probes(docs: DataFrame, size: int = 100, modes: tuple[str, ...] = MODES, tokens=X.words, stand_ins: bool = True) -> DataFrame:
+    """doc_id, mode, kind, axis, text, n_tokens: the probes of every mode from one pass over a text, without a shuffle. tokens: text -> array of tokens.
+
+    A text without tokens is read by its stand-in (chunk_list); without stand_ins it has its naive probe alone, of which a null text leaves text and n_tokens null.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     one = lambda mode, kind, axis, t, n: F.struct(F.lit(mode).alias("mode"), F.lit(kind).alias("kind"), axis.cast("int").alias("axis"), t.alias("text"), n.cast("int").alias("n_tokens"))
 
@@ -60,13 +63,14 @@ def all_probes(docs: DataFrame, size: int = 100, modes: tuple[str, ...] = MODES,
             axis = lambda mode, kind, xs: F.filter(F.transform(xs, lambda x, i: one(mode, kind, i, F.array_join(x, " "), count(F.array_join(x, " ")))), lambda p: F.trim(p["text"]) != "")
             rows, cols = lines(cs)
             plan = {
-                "naive": lambda: F.array(one("naive", "r", F.lit(0), text, F.size(ws))),
+                "naive": lambda: F.array(one("naive", "r", F.lit(0), *((text, F.size(ws)) if stand_ins else (F.col("text"), F.when(F.col("text").isNotNull(), F.size(ws)))))),
                 "firstp": lambda: F.array(one("firstp", "r", F.lit(0), F.get(cs, F.lit(0)), count(F.get(cs, F.lit(0))))),
                 "perchunk": lambda: F.transform(cs, lambda c, i: one("perchunk", "r", i, c, count(c))),
                 "rows": lambda: axis("rows", "r", rows),
                 "grid": lambda: F.concat(axis("grid", "r", rows), axis("grid", "c", cols)),
             }
-            return F.concat(*[plan[m]() for m in modes])
+            made = F.concat(*[plan[m]() for m in modes])
+            return made if stand_ins else F.filter(made, lambda p: (F.size(ws) > 0) | (p["mode"] == "naive"))
 
         return X.bound(chunk_list(text, ws, size), of_chunks)
 
