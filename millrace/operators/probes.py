@@ -10,8 +10,10 @@ from ..functions import text as X
 MODES = ("naive", "firstp", "perchunk", "rows", "grid")
 
 
-def chunk_list(text: Column, words: Column, size: int) -> Column:
-    """The non-blank chunks of a text in order; without any its first 200 characters, or 'empty'."""
+def chunk_list(text: Column, words: Column, size: int, stand_ins: bool = True) -> Column:
+    """The non-blank chunks of a text in order; without any a stand-in, its first 200 characters or 'empty', or none without stand_ins."""
+    if not stand_ins:
+        return X.chunks(words, size)
     head = F.substring(F.coalesce(text, F.lit("")), 1, 200)
     return X.bound(X.chunks(words, size), lambda cs: F.when(F.size(cs) > 0, cs).otherwise(F.array(F.when(head != "", head).otherwise(F.lit("empty")))))
 
@@ -36,14 +38,15 @@ def lines(cs: Column, near_square: bool = False) -> tuple[Column, Column]:
     return rows, cols
 
 
-def axes(docs: DataFrame, size: int = 100, near_square: bool = False) -> DataFrame:
-    """doc_id, kind, axis, cs (chunks): row and column probes of each document, made where its text is read."""
+def axes(docs: DataFrame, size: int = 100, near_square: bool = False, stand_ins: bool = True) -> DataFrame:
+    """doc_id, kind, axis, cs (chunks): row and column probes of each document, made where its text is read. A text without words has none without stand_ins."""
     def both(cs):
         tagged = lambda xs, kind: F.transform(xs, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("axis"), x.alias("cs")))
         rows, cols = lines(cs, near_square)
-        return F.concat(tagged(rows, "r"), tagged(cols, "c"))
+        made = F.concat(tagged(rows, "r"), tagged(cols, "c"))
+        return made if stand_ins else F.when(F.size(cs) > 0, made)
 
-    d = docs.select("doc_id", X.bound(chunk_list(F.col("text"), X.words(F.col("text")), size), both).alias("a"))
+    d = docs.select("doc_id", X.bound(chunk_list(F.col("text"), X.words(F.col("text")), size, stand_ins), both).alias("a"))
     return d.select("doc_id", F.inline("a"))
 
 
@@ -83,8 +86,8 @@ def probes(docs: DataFrame, mode: str, size: int = 100, tokens=X.words) -> DataF
     return all_probes(docs, size, (mode,), tokens)
 
 
-def labelled(docs: DataFrame, size: int = 100) -> DataFrame:
+def labelled(docs: DataFrame, size: int = 100, stand_ins: bool = True) -> DataFrame:
     """Near-square row and column probes whose chunks are numbered from 1 within the probe."""
-    a = axes(docs, size, True)
+    a = axes(docs, size, True, stand_ins)
     text = F.array_join(F.transform("cs", lambda x, i: F.concat(F.lit("[CHUNK "), (i + 1).cast("string"), F.lit("]: "), x, F.lit("\n\n"))), "")
     return a.select("doc_id", "kind", "axis", text.alias("text"))
