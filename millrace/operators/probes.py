@@ -18,9 +18,9 @@ def chunk_list(text: Column, words: Column, size: int, stand_ins: bool = True) -
     return X.bound(X.chunks(words, size), lambda cs: F.when(F.size(cs) > 0, cs).otherwise(F.array(F.when(head != "", head).otherwise(F.lit("empty")))))
 
 
-def chunked(docs: DataFrame, size: int = 100, tokens=X.words) -> DataFrame:
+def chunked(docs: DataFrame, size: int = 100, tokens=X.words, stand_ins: bool = True) -> DataFrame:
     """doc_id, idx, chunk, n: the chunks of chunk_list. tokens: text -> array of tokens, white-space words by default."""
-    d = docs.select("doc_id", chunk_list(F.col("text"), tokens(F.col("text")), size).alias("cs"))
+    d = docs.select("doc_id", chunk_list(F.col("text"), tokens(F.col("text")), size, stand_ins).alias("cs"))
     return d.select("doc_id", F.size("cs").alias("n"), F.posexplode("cs").alias("idx", "chunk"))
 
 
